@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from taxograph.functions import kind_letter
 from taxograph.llm import distinct_sketch as S
+from taxograph.llm.leakage import decontaminate, leaks
 from taxograph.llm.overlap import overlaps
 from taxograph.llm.tokenizer import encode_corpus, vocabulary_path
 from taxograph.sources import table
@@ -68,8 +69,20 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), vocabulary_path("byte_bpe_50k"), Workspace(spark, "encode"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_overlaps, p5_found, p5_day_category, p5_days, p5_categories, p5_unions, p6_ids)
+    f.__name__: f for f in (p2_found, p2_overlaps, p5_found, p5_day_category, p5_days, p5_categories, p5_unions, p6_ids, p7_found, p7_leaks, p7_clean)
 }
 
 KIND = r"nullif(lower(substr(regexp_replace(cl_type, '^\s+', ''), 1, 1)), '')"
@@ -85,4 +98,9 @@ SQL: dict[str, str] = {
     "p2_overlaps": OVERLAPS + "select * from result",
     "p5_found": """select strftime(cl_timestamp, '%Y-%m-%d') as link_day, page_id from categorylinks
 where cl_from > 0 and page_id > 0 and cl_timestamp is not null group by 1, 2 having count(*) >= 20 and count(distinct cl_from) * 2 < count(*)""",
+    "p7_found": """with texts as (select item_id, prompt as text from eval_items union all select item_id, solution from eval_items),
+iw as (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from texts), dw as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents),
+ig as (select distinct item_id, array_to_string(w[i:i + 11], ' ') as g from (select item_id, w, unnest(generate_series(1, len(w) - 11)) as i from iw)),
+dg as (select distinct doc_id, array_to_string(w[i:i + 11], ' ') as g from (select doc_id, w, unnest(generate_series(1, len(w) - 11)) as i from dw))
+select distinct doc_id, item_id from dg join ig using (g)""",
 }
