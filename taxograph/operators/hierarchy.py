@@ -16,7 +16,7 @@ from taxograph.functions import kind_letter
 from taxograph.workspace import Workspace
 
 #: Levels joined in one job; the first jobs, with wide frontiers, take fewer.
-LEVELS = (3, 5, 8)
+LEVELS = (2, 3, 6, 8)
 #: At most so many trimmed edges are finished by one task; more go through distributed rounds.
 TASK_EDGES = 1 << 18
 
@@ -38,33 +38,32 @@ def level_search(ws: Workspace, edges: DataFrame, starts: DataFrame, paths: bool
     ``starts`` has ``(node, root)`` at depth 0. Of several shortest paths the smallest, compared id by id, is given.
     A walk inside one job may run into pairs that are already settled; they are dropped when the job ends, so a loop
     costs at most the levels of one job. Empty edges or starts give the starts alone.
+
+    Within a job the rows found so far are carried along by an edge from each node to itself, which makes every level the
+    same join and aggregate: the plan grows by one of each a level, and all levels share one shuffle of the edges and
+    one generated code.
     """
+    ends = edges.select(F.col("parent").alias("child")).union(edges.select("child")).distinct()
+    steps = ws.write(edges.select("parent", "child", F.lit(1).alias("step")).union(ends.select(F.col("child").alias("parent"), "child", F.lit(0).alias("step"))), f"{label}-steps")
     held = [f"{label}-0"]
-    first = starts.select("node", "root", F.lit(0).alias("depth"), *([F.array("node").alias("path")] if paths else [])).distinct()
+    first = starts.select("node", "root").distinct().select("node", "root", F.lit(0).alias("depth"), F.lit(True).alias("newest"), *([F.array("node").alias("path")] if paths else []))
     frontier = ws.write(first, held[0])
-    level, schema = 0, frontier.schema
-    while True:
-        current, parts = frontier.select("node", "root", *(["path"] if paths else [])), []
+    schema = frontier.schema
+    names = [c for c in schema.names if c != "newest"]
+    while not frontier.isEmpty():
+        met = frontier
         for _ in range(LEVELS[min(len(held) - 1, len(LEVELS) - 1)]):
-            level += 1
-            step = current.join(edges, current["node"] == edges["parent"])
+            step = met.join(steps, met["node"] == steps["parent"]).filter(F.col("newest") | (F.col("step") == 0))
+            taken = [F.col("child").alias("node"), "root", (F.col("depth") + F.col("step")).alias("depth"), (F.col("step") == 1).alias("newest")]
             if paths:
-                current = step.select(F.col("child").alias("node"), "root", F.concat("path", F.array("child")).alias("path")).groupBy("node", "root").agg(F.min("path").alias("path"))
+                taken.append(F.when(F.col("step") == 1, F.concat("path", F.array("child"))).otherwise(F.col("path")).alias("path"))
+                met = step.select(*taken).groupBy("node", "root").agg(F.min(F.struct("depth", "path")).alias("x"), F.bool_and("newest").alias("newest")).select("node", "root", "x.depth", "newest", "x.path")
             else:
-                current = step.select(F.col("child").alias("node"), "root").distinct()
-            parts.append(current.withColumn("depth", F.lit(level)))
-        met = parts[0]
-        for part in parts[1:]:
-            met = met.unionByName(part)
-        if paths:
-            met = met.groupBy("node", "root").agg(F.min(F.struct("depth", "path")).alias("x")).select("node", "root", "x.depth", "x.path")
-        else:
-            met = met.groupBy("node", "root").agg(F.min("depth").alias("depth"))
+                met = step.select(*taken).groupBy("node", "root").agg(F.min("depth").alias("depth"), F.bool_and("newest").alias("newest"))
+        settled = ws.read(held, schema).select("node", "root")
         held.append(f"{label}-{len(held)}")
-        new = ws.write(met.join(ws.read(held[:-1], schema).select("node", "root"), ["node", "root"], "left_anti").select(*schema.names), held[-1])
-        frontier = new.filter(F.col("depth") == level)
-        if frontier.isEmpty():
-            return ws.read(held, schema)
+        frontier = ws.write(met.join(settled, ["node", "root"], "left_anti").select(*schema.names), held[-1]).filter("newest")
+    return ws.read(held, schema).select(*names)
 
 
 def _components(pdf) -> Iterator[tuple[int, int, int]]:
