@@ -11,6 +11,7 @@ from taxograph.functions import kind_letter
 from taxograph.llm import distinct_sketch as S
 from taxograph.llm.leakage import decontaminate, leaks
 from taxograph.llm.overlap import overlaps
+from taxograph.llm.subjects import subjects
 from taxograph.llm.tokenizer import encode_corpus, vocabulary_path
 from taxograph.sources import table
 from taxograph.workspace import Workspace
@@ -81,8 +82,22 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects(table(spark, d, "documents"), table(spark, d, "subject_areas"), table(spark, d, "subject_labels"), Workspace(spark, "subjects"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject")
+
+
+def p8_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents of each area and their share of all documents."""
+    n = table(spark, d, "documents").count()
+    return _subjects(spark, d).groupBy("subject").agg(F.count(F.lit(1)).alias("n_documents")).withColumn("share", F.col("n_documents") / F.lit(max(n, 1)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_overlaps, p5_found, p5_day_category, p5_days, p5_categories, p5_unions, p6_ids, p7_found, p7_leaks, p7_clean)
+    f.__name__: f for f in (p2_found, p2_overlaps, p5_found, p5_day_category, p5_days, p5_categories, p5_unions, p6_ids, p7_found, p7_leaks, p7_clean, p8_found, p8_composition)
 }
 
 KIND = r"nullif(lower(substr(regexp_replace(cl_type, '^\s+', ''), 1, 1)), '')"
