@@ -238,17 +238,22 @@ def _seeds(z, labels: list[list[int]], about, areas: int):
 
 
 def _further(z, labels: list[list[int]], near) -> list[tuple[int, object]]:
-    """For each area, the largest bundle of its labelled documents that are far from all centroids but near each other."""
+    """For each area, the largest bundle of labelled documents that are far from all centroids but near each other, if
+    most of the bundle has that label."""
     import numpy as np
 
+    left = np.flatnonzero(near < 0)
+    if len(left) < 2:
+        return []
+    far = z[left]
     out = []
-    for a in sorted({own[0] for own in labels if len(own) == 1}):
-        far = z[[n for n, own in enumerate(labels) if own == [a] and near[n] < 0]]
-        if len(far) > 1:
-            close = far @ far.T >= NEAR
-            k = int(close.sum(axis=1).argmax())
-            if close[k].sum() >= 2:
-                out.append((a, far[close[k]].mean(axis=0)))
+    for a in sorted({x for n in left for x in labels[n]}):
+        has = np.array([a in labels[n] for n in left])
+        close = far[has] @ far.T >= NEAR
+        hits, total = (close & has).sum(axis=1), close.sum(axis=1)
+        hits = np.where((hits >= 2) & (hits >= AGREE * total), hits, 0)
+        if hits.max(initial=0):
+            out.append((a, far[close[int(hits.argmax())]].mean(axis=0)))
     return out
 
 
