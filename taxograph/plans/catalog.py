@@ -1,7 +1,7 @@
 """All named queries of the core."""
 
-from taxograph.plans import pipeline
+from taxograph.plans import graph, pipeline
 
-FLAGSHIP = "p1_found"
-QUERIES = {**pipeline.QUERIES}
-SQL = {**pipeline.SQL}
+FLAGSHIP = "list_files"
+QUERIES = {**graph.QUERIES, **pipeline.QUERIES}
+SQL = {**graph.SQL, **pipeline.SQL}
