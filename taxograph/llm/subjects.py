@@ -64,8 +64,8 @@ def _extract(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     known: dict[str, int] = {}
-    for batch in batches:
-        terms = [terms_of(x) for x in batch.column("text").to_pylist()]
+    for batch, texts in _chunks(batches, "text"):
+        terms = [terms_of(x) for x in texts.to_pylist()]
         buckets = []
         for ts in terms:
             own = set()
