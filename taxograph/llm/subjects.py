@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,8 +41,10 @@ AGREE = 0.7
 CHUNK = 256
 BLOCK = 1024
 
-CASE = re.compile(r"([a-z0-9])([A-Z])")
-TERM = re.compile(r"[^\W\d_]{2,}")
+CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
+LETTERS = re.compile(r"[^\W\d_]{2,}")
+#: Different names that a worker keeps the terms of.
+KNOWN_NAMES = 300_000
 
 
 def stem(word: str) -> str:
@@ -51,32 +52,40 @@ def stem(word: str) -> str:
     return word[:-1] if len(word) > 3 and word.endswith("s") and not word.endswith("ss") else word
 
 
+def terms_of_name(name: str) -> list[str]:
+    """Terms of a run of letters, split where an upper-case letter follows a lower-case one."""
+    return [stem(w) for w in (x.lower() for x in CASE.split(name)) if len(w) > 1]
+
+
 def terms_of(text: str | None) -> list[str]:
     """The distinct terms of a text, sorted; none for a null text."""
-    return sorted({stem(w) for w in set(TERM.findall(CASE.sub(r"\1 \2", text).lower()))}) if text else []
+    return sorted({t for name in set(LETTERS.findall(text)) for t in terms_of_name(name)}) if text else []
 
 
 def bucket_of(term: str) -> int:
     return zlib.crc32(term.encode()) % BUCKETS
 
 
+class _Names(dict):
+    """Terms and buckets of names met before."""
+
+    def __missing__(self, name: str):
+        if len(self) > KNOWN_NAMES:
+            self.clear()
+        found = self[name] = [(t, bucket_of(t)) for t in terms_of_name(name)]
+        return found
+
+
 def _extract(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    known: dict[str, int] = {}
+    known = _Names()
     for batch, texts in _chunks(batches, "text"):
-        terms = [terms_of(x) for x in texts.to_pylist()]
-        buckets = []
-        for ts in terms:
-            own = set()
-            for t in ts:
-                b = known.get(t)
-                if b is None:
-                    if len(known) > 500_000:
-                        known.clear()
-                    b = known[t] = bucket_of(t)
-                own.add(b)
-            buckets.append(sorted(own))
+        terms, buckets = [], []
+        for text in texts.to_pylist():
+            own = {x for name in set(LETTERS.findall(text)) for x in known[name]} if text else ()
+            terms.append([t for t, _ in own])
+            buckets.append(sorted({b for _, b in own}))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(terms, pa.list_(pa.string())), pa.array(buckets, pa.list_(pa.int32()))], ["doc_id", "terms", "buckets"])
 
 
@@ -194,7 +203,7 @@ def _embed(basis: Basis, batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for part, lists in _chunks(batches, "buckets"):
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([z.tobytes() for z in basis.embed(lists)], pa.binary())], ["doc_id", "z"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), part.column("terms"), pa.array([z.tobytes() for z in basis.embed(lists)], pa.binary())], ["doc_id", "row", "terms", "z"])
 
 
 def _nearest(z, centroids):
@@ -286,27 +295,14 @@ def centroids(embedded: DataFrame, z, labels: list[list[int]], about, areas: int
     return now, area
 
 
-def _term_counts(basis: Basis, now, area, batches: Iterator) -> Iterator:
-    """The task's (term, area of the nearest centroid, documents)."""
+def _placed(now, area, batches: Iterator) -> Iterator:
+    """(area of the nearest centroid or -1, terms) of each document."""
+    import numpy as np
     import pyarrow as pa
 
-    counts: Counter = Counter()
-
-    def flush():
-        keys = list(counts)
-        out = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())], ["term", "area", "n"])
-        counts.clear()
-        return out
-
-    for part, lists in _chunks(batches, "buckets"):
-        near = _nearest(basis.embed(lists), now)
-        for terms, c in zip(part.column("terms").to_pylist(), near, strict=True):
-            a = int(area[c]) if c >= 0 else -1
-            for t in terms:
-                counts[t, a] += 1
-        if len(counts) > 300_000:
-            yield flush()
-    yield flush()
+    for part, column in _chunks(batches, "z"):
+        near = _nearest(np.frombuffer(b"".join(column.to_pylist()), dtype="float32").reshape(-1, now.shape[1]), now)
+        yield pa.RecordBatch.from_arrays([pa.array(np.where(near >= 0, area[near], -1), pa.int32()), part.column("terms")], ["area", "terms"])
 
 
 def labelled_sample(labels: DataFrame, names: list[str], limit: int = MAX_LABELLED) -> DataFrame:
@@ -340,7 +336,8 @@ def subjects(documents: DataFrame, areas: DataFrame, labels: DataFrame, workspac
     if basis is None:
         return empty
     shared = spark.sparkContext.broadcast(basis)
-    embedded = workspace.write(features.select("doc_id", "buckets").mapInArrow(lambda batches: _embed(shared.value, batches), "doc_id bigint, z binary"), "embedded")
+    embedded = workspace.write(features.mapInArrow(lambda batches: _embed(shared.value, batches), "doc_id bigint, row bigint, terms array<string>, z binary"), "embedded")
+    workspace.drop("features")
     sample = embedded.join(workspace.write(labelled_sample(labels, [s.strip().lower() for s, _ in listed], max_labelled), "labelled"), "doc_id").select("doc_id", "z", "areas").collect()  # at most max_labelled documents
     sample.sort(key=lambda r: (r["doc_id"], r["z"]))
     z = np.array([np.frombuffer(r["z"], dtype="float32") for r in sample], dtype="float64").reshape(len(sample), basis.vectors.shape[1])
@@ -349,10 +346,11 @@ def subjects(documents: DataFrame, areas: DataFrame, labels: DataFrame, workspac
     about = basis.embed(pa.array([sorted({bucket_of(t) for t in terms_of(f"{s} {x}")}) for s, x in listed], pa.list_(pa.int32())))
     now, area = centroids(embedded, z, [list(r["areas"]) for r in sample], about, len(listed))
     final = spark.sparkContext.broadcast((now.astype("float32"), area))
-    counted = features.select("terms", "buckets").mapInArrow(lambda batches: _term_counts(shared.value, *final.value, batches), "term string, area int, n bigint").groupBy("term", "area").agg(F.sum("n").alias("n"))
+    placed = embedded.select("z", "terms").mapInArrow(lambda batches: _placed(*final.value, batches), "area int, terms array<string>")
+    counted = placed.select("area", F.explode("terms").alias("term")).groupBy("term", "area").agg(F.count(F.lit(1)).alias("n"))
     best = F.max(F.when(F.col("area") >= 0, F.struct("n", "area"))).alias("best")
     lexicon = counted.groupBy("term").agg(F.sum("n").alias("df"), best).filter((F.col("best.n") >= MIN_DOCUMENTS) & (F.col("best.n") >= TERM_SHARE * F.col("df"))).select("term", "best.area")
     lexicon = workspace.write(lexicon, "lexicon")
-    hits = features.select("row", "doc_id", F.explode("terms").alias("term")).join(lexicon, "term").groupBy("row", "doc_id", "area").agg(F.count(F.lit(1)).alias("n_terms")).filter(F.col("n_terms") >= min_terms)
+    hits = embedded.select("row", "doc_id", F.explode("terms").alias("term")).join(lexicon, "term").groupBy("row", "doc_id", "area").agg(F.count(F.lit(1)).alias("n_terms")).filter(F.col("n_terms") >= min_terms)
     spelt = F.element_at(F.array(*(F.lit(s) for s, _ in listed)), F.col("area") + 1)
     return hits.groupBy("doc_id", spelt.alias("subject")).agg(F.max("n_terms").alias("n_terms"))
