@@ -13,7 +13,22 @@ from taxograph.functions import saturated_depth
 from taxograph.operators.graph import CategoryGraph
 from taxograph.workspace import Workspace
 
-LISTING = "root int, bound int, id int, depth int, kind string, k int, pos bigint"
+#: Levels taken in one job.
+LEVELS = (2, 4, 8)
+#: A position within a queue and one within a list of subcategories, as one number.
+PLACE = 1 << 31
+
+
+def _with_selves(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """``(parent, pos, child, step)``: the edges (step 1) and an edge from every node to itself (step 0)."""
+    ends = edges.select("parent").union(edges.select("child")).union(starts.select("root")).distinct()
+    return edges.select("parent", "pos", "child", F.lit(1).alias("step")).union(ends.select("parent", F.lit(0), F.col("parent"), F.lit(0)))
+
+
+def _ranked(df: DataFrame, accepted: str, order: str) -> DataFrame:
+    """Add ``rank``: the place of an accepted row among those of its root. The others are spread, they need none."""
+    spread = F.when(F.col(accepted), 0).otherwise(1 + F.pmod(F.xxhash64("node"), F.lit(64)))
+    return df.withColumn("spread", spread).withColumn("rank", F.row_number().over(Window.partitionBy("root", "spread").orderBy(order)))
 
 
 def queues(ws: Workspace, graph: CategoryGraph, starts: DataFrame) -> DataFrame:
@@ -21,23 +36,40 @@ def queues(ws: Workspace, graph: CategoryGraph, starts: DataFrame) -> DataFrame:
 
     A category stands in the queue of its first level and, if it was met again before its own turn there, once more one
     level below; that is how a queue that marks categories when they leave it behaves. ``bound`` < 0 is no bound.
+
+    A root is searched once, as far as its largest bound needs; a smaller bound just ends earlier. The state has a row for
+    each category met: its first ``level`` with its place ``k1``, its place ``k2`` if it stands in the next queue too, and
+    how ``fresh`` it is (2: of the newest level, 1: of the one before). As in ``level_search`` the state is carried through
+    the levels of a job by edges from each node to itself, so each level adds the same join, aggregate and ranking.
     """
-    steps = ws.write(graph.steps().filter("enters").select("parent", "pos", "child"), "steps")
-    known = graph.categories.filter(F.col("cat") < graph.limit).select(F.col("cat").alias("root"))
-    first = starts.select("root", F.when(F.col("bound") < 0, -1).otherwise(F.col("bound")).cast("int").alias("bound")).distinct().join(known, "root", "left_semi")
-    queue = ws.write(first.select("root", "bound", F.lit(0).alias("level"), F.lit(1).alias("k"), F.col("root").alias("node")), "queue-0")
-    schema, held = queue.schema, ["queue-0"]
-    while not queue.isEmpty():
-        at = queue.select("root", "bound", F.col("node").alias("child"), F.col("k").alias("own_k"))
-        met = queue.filter("bound < 0 or level < bound").join(steps, queue["node"] == steps["parent"]).select("root", "bound", "level", "k", "pos", "child")
-        met = met.join(at, ["root", "bound", "child"], "left").filter("own_k is null or own_k > k")
-        if len(held) > 1:
-            met = met.join(ws.read(held[:-1], schema).select("root", "bound", F.col("node").alias("child")), ["root", "bound", "child"], "left_anti")
-        best = met.groupBy("root", "bound", "child").agg(F.min(F.struct("k", "pos")).alias("x"), F.first("level").alias("level"))
-        rank = F.row_number().over(Window.partitionBy("root", "bound").orderBy("x.k", "x.pos"))
-        held.append(f"queue-{len(held)}")
-        queue = ws.write(best.select("root", "bound", (F.col("level") + 1).alias("level"), rank.alias("k"), F.col("child").alias("node")), held[-1])
-    return ws.read(held, schema)
+    bounds = ws.write(starts.select("root", F.when(F.col("bound") < 0, -1).otherwise(F.col("bound")).cast("int").alias("bound")).distinct().join(graph.categories.filter(F.col("cat") < graph.limit).select(F.col("cat").alias("root")), "root", "left_semi"), "bounds")
+    reach = bounds.groupBy("root").agg(F.when(F.min("bound") < 0, -1).otherwise(F.max("bound")).alias("reach"))
+    steps = ws.write(_with_selves(graph.steps().filter("enters"), bounds), "steps")
+    none = F.lit(None).cast("int")
+    state = ws.write(reach.select("root", "reach", F.col("root").alias("node"), F.lit(0).alias("level"), F.lit(1).alias("k1"), none.alias("k2"), F.lit(2).alias("fresh")), "state-0")
+    newest = (F.col("fresh") == 2) | ((F.col("fresh") == 1) & F.col("k2").isNotNull())
+    own = F.col("step") == 0
+    turn = 0
+    while True:
+        for _ in range(LEVELS[min(turn, len(LEVELS) - 1)]):
+            at = F.col("level") + 2 - F.col("fresh")
+            place = F.when(F.col("fresh") == 2, F.col("k1")).otherwise(F.col("k2")).cast("bigint")
+            met = state.join(steps, state["node"] == steps["parent"]).filter(own | (newest & ((F.col("reach") < 0) | (at < F.col("reach")))))
+            rows = met.select("root", "reach", F.col("child").alias("node"), *(F.when(own, F.col(c)).alias(c) for c in ("level", "k1", "k2")), F.when(own, F.greatest(F.col("fresh") - 1, F.lit(0))).alias("fresh"), F.when(~own, place * PLACE + F.col("pos")).alias("cand"), F.when(~own, at + 1).alias("next"))
+            got = rows.groupBy("root", "reach", "node").agg(*(F.max(c).alias(c) for c in ("level", "k1", "k2", "fresh")), F.min("cand").alias("cand"), F.max("next").alias("next"))
+            fresh_one = F.col("level").isNull()
+            again = (F.col("fresh") == 1) & F.col("cand").isNotNull() & (F.floor(F.col("cand") / PLACE) < F.col("k1"))
+            got = _ranked(got.withColumn("taken", fresh_one | F.coalesce(again, F.lit(False))), "taken", "cand")
+            k2 = F.when(F.col("taken") & ~fresh_one, F.col("rank")).otherwise(F.col("k2"))
+            state = got.select("root", "reach", "node", F.coalesce("level", "next").alias("level"), F.when(fresh_one, F.col("rank")).otherwise(F.col("k1")).alias("k1"), k2.alias("k2"), F.coalesce("fresh", F.lit(2)).alias("fresh"))
+        turn += 1
+        state = ws.write(state, f"state-{turn}")
+        ws.drop(f"state-{turn - 1}")
+        if state.filter(newest).isEmpty():
+            break
+    twice = F.array(F.struct("level", F.col("k1").alias("k")), F.struct((F.col("level") + 1).alias("level"), F.col("k2").alias("k")))
+    entries = state.select("root", "node", F.explode(twice).alias("x")).select("root", "x.level", "x.k", "node").filter("k is not null")
+    return ws.write(entries.join(bounds, "root").filter("bound < 0 or level <= bound").select("root", "bound", "level", "k", "node"), "queues")
 
 
 def listing(ws: Workspace, graph: CategoryGraph, starts: DataFrame, frontier_rows: bool = True) -> tuple[DataFrame, DataFrame]:
@@ -74,14 +106,21 @@ def path_trees(ws: Workspace, graph: CategoryGraph, starts: DataFrame) -> DataFr
     Of several shortest paths the one found first in queue order: the smallest list of edge positions. Empty categories
     can be reached. The root itself has depth 0.
     """
-    steps = ws.write(graph.subcats.filter(F.col("child") < graph.limit), "path-steps")
     known = graph.categories.filter(F.col("cat") < graph.limit).select(F.col("cat").alias("root"))
-    level = ws.write(starts.select("root").distinct().join(known, "root", "left_semi").select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(1).alias("k"), F.array("root").alias("path")), "tree-0")
-    schema, held = level.schema, ["tree-0"]
-    while not level.isEmpty():
-        met = level.join(steps, level["node"] == steps["parent"]).groupBy("root", "child").agg(F.min(F.struct("k", "pos", "path")).alias("x"), F.first("depth").alias("depth"))
-        met = met.select("root", F.col("child").alias("node"), (F.col("depth") + 1).alias("depth"), "x").join(ws.read(held, schema).select("root", "node"), ["root", "node"], "left_anti")
-        rank = F.row_number().over(Window.partitionBy("root").orderBy("x.k", "x.pos"))
-        held.append(f"tree-{len(held)}")
-        level = ws.write(met.select("root", "node", "depth", rank.alias("k"), F.concat("x.path", F.array("node")).alias("path")), held[-1])
-    return ws.read(held, schema)
+    roots = starts.select("root").distinct().join(known, "root", "left_semi")
+    steps = ws.write(_with_selves(graph.subcats.filter(F.col("child") < graph.limit), roots), "path-steps")
+    state = ws.write(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(1).alias("k"), F.array("root").alias("path"), F.lit(True).alias("newest")), "tree-0")
+    own, turn = F.col("step") == 0, 0
+    while not state.filter("newest").isEmpty():
+        for _ in range(LEVELS[min(turn, len(LEVELS) - 1)]):
+            met = state.join(steps, state["node"] == steps["parent"]).filter(own | F.col("newest"))
+            cand = F.struct((F.col("k").cast("bigint") * PLACE + F.col("pos")).alias("place"), (F.col("depth") + 1).alias("depth"), "path")
+            rows = met.select("root", F.col("child").alias("node"), F.when(own, F.struct("depth", "k", "path")).alias("held"), F.when(~own, cand).alias("cand"))
+            got = rows.groupBy("root", "node").agg(F.max("held").alias("held"), F.min("cand").alias("cand")).withColumn("newest", F.col("held").isNull()).withColumn("place", F.col("cand.place"))
+            got = _ranked(got, "newest", "place")
+            path = F.concat("cand.path", F.array("node"))
+            state = got.select("root", "node", F.coalesce("held.depth", "cand.depth").alias("depth"), F.coalesce("held.k", "rank").alias("k"), F.when(F.col("newest"), path).otherwise(F.col("held.path")).alias("path"), "newest")
+        turn += 1
+        state = ws.write(state, f"tree-{turn}")
+        ws.drop(f"tree-{turn - 1}")
+    return state.select("root", "node", "depth", "k", "path")
