@@ -32,12 +32,13 @@ def hierarchy_roots(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("parent").alias("node")).distinct().join(edges.select(F.col("child").alias("node")), "node", "left_anti")
 
 
-def level_search(ws: Workspace, edges: DataFrame, starts: DataFrame, paths: bool = False, label: str = "reach") -> DataFrame:
+def level_search(ws: Workspace, edges: DataFrame, starts: DataFrame, paths: bool = False, label: str = "reach", most: int | None = None) -> DataFrame:
     """``(node, root, depth[, path])``: every node reached from each start, with the fewest steps.
 
     ``starts`` has ``(node, root)`` at depth 0. Of several shortest paths the smallest, compared id by id, is given.
     A walk inside one job may run into pairs that are already settled; they are dropped when the job ends, so a loop
-    costs at most the levels of one job. Empty edges or starts give the starts alone.
+    costs at most the levels of one job. Empty edges or starts give the starts alone. With ``most``, levels beyond it need
+    not be searched, though some may be.
 
     Within a job the rows found so far are carried along by an edge from each node to itself, which makes every level the
     same join and aggregate: the plan grows by one of each a level, and all levels share one shuffle of the edges and
@@ -50,9 +51,11 @@ def level_search(ws: Workspace, edges: DataFrame, starts: DataFrame, paths: bool
     frontier = ws.write(first, held[0])
     schema = frontier.schema
     names = [c for c in schema.names if c != "newest"]
-    while not frontier.isEmpty():
-        met = frontier
-        for _ in range(LEVELS[min(len(held) - 1, len(LEVELS) - 1)]):
+    level = 0
+    while (most is None or level < most) and not frontier.isEmpty():
+        met, levels = frontier, LEVELS[min(len(held) - 1, len(LEVELS) - 1)]
+        level += levels
+        for _ in range(levels):
             step = met.join(steps, met["node"] == steps["parent"]).filter(F.col("newest") | (F.col("step") == 0))
             taken = [F.col("child").alias("node"), "root", (F.col("depth") + F.col("step")).alias("depth"), (F.col("step") == 1).alias("newest")]
             if paths:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from taxograph.functions import saturated_depth
 from taxograph.operators.graph import CategoryGraph
+from taxograph.operators.hierarchy import level_search
 from taxograph.workspace import Workspace
 
 #: Levels taken in one job.
@@ -100,6 +101,29 @@ def listing(ws: Workspace, graph: CategoryGraph, starts: DataFrame, frontier_row
 ORDER = ("depth", "k", "kind", "pos")
 
 
+def file_depths(ws: Workspace, graph: CategoryGraph, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The files below each start ``(root, bound)`` and what its search has seen, without an order.
+
+    The same files, depths and seen rows as ``listing`` gives without frontier rows, from a search that keeps no queue
+    positions: ``(root, bound, id, depth)`` and ``(root, bound, id, depth2)``.
+    """
+    known = graph.categories.filter(F.col("cat") < graph.limit).select(F.col("cat").alias("root"))
+    bounds = ws.write(starts.select("root", F.when(F.col("bound") < 0, -1).otherwise(F.col("bound")).cast("int").alias("bound")).distinct().join(known, "root", "left_semi"), "depth-bounds")
+    steps = ws.write(graph.steps().filter("enters").select("parent", "child").distinct(), "depth-steps")
+    reach = ws.write(bounds.groupBy("root").agg(F.when(F.min("bound") < 0, -1).otherwise(F.max("bound")).alias("reach")), "reach-of")
+    most = reach.agg(F.max("reach")).first()[0] or 0
+    node = F.col("root").alias("node")
+    whole = level_search(ws, steps, reach.filter("reach < 0").select("root", node), label="whole")
+    near = level_search(ws, steps, reach.filter("reach >= 0").select("root", node), label="near", most=most)
+    met = ws.write(whole.unionByName(near), "met")
+    found = ws.write(met.join(graph.contents(), F.col("node") == F.col("parent")).groupBy("root", "file").agg(F.min("depth").alias("depth")).select("root", F.col("file").alias("id"), "depth"), "found")
+    inside = (F.col("bound") < 0) | (F.col("depth") <= F.col("bound"))
+    rows = found.join(bounds, "root").filter(inside).select("root", "bound", "id", "depth")
+    entered = met.select("root", F.col("node").alias("id"), "depth").join(bounds, "root").filter(inside).select("root", "bound", "id", F.lit(0).alias("depth2"))
+    seen = entered.unionByName(rows.select("root", "bound", "id", saturated_depth(F.col("depth")).alias("depth2")))
+    return rows, seen.groupBy("root", "bound", "id").agg(F.min("depth2").alias("depth2"))
+
+
 def path_trees(ws: Workspace, graph: CategoryGraph, starts: DataFrame) -> DataFrame:
     """``(root, node, depth, k, path)``: shortest paths along subcategories from each ``(root)`` to all categories below.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from taxograph.operators import inspect as I
 from taxograph.operators.actions import answer, defaults, good_tags, validated
 from taxograph.operators.graph import CategoryGraph, build_graph, violations
-from taxograph.operators.traverse import listing
+from taxograph.operators.traverse import file_depths
 from taxograph.sources import table
 from taxograph.sources.links import delivered_links, largest_page_id, titled_links
 from taxograph.workspace import Workspace
@@ -37,7 +37,7 @@ def list_files(spark: SparkSession, d: str) -> DataFrame:
     """TRV-1: the files of every different list request, with their depth."""
     ws, graph = Workspace(spark, "list"), _graph(spark, d)
     asked = _accepted(graph, spark, d, ws).filter("a = 'list'").select(F.col("c1").alias("root"), F.col("d1").alias("bound"))
-    rows, _ = listing(ws, graph, asked, frontier_rows=False)
+    rows, _ = file_depths(ws, graph, asked)
     return rows.select(F.col("root").alias("c1"), F.col("bound").alias("d1"), "id", "depth")
 
 
@@ -45,7 +45,7 @@ def _two(spark: SparkSession, d: str, a: str) -> tuple[DataFrame, DataFrame]:
     """Files of c1 of every different pair of searches, and what the search of c2 has seen."""
     ws, graph = Workspace(spark, a), _graph(spark, d)
     asked = ws.write(_accepted(graph, spark, d, ws).filter(F.col("a") == a).select("c1", "d1", "c2", "d2").distinct(), "asked")
-    rows, seen = listing(ws, graph, asked.select(F.col("c1").alias("root"), F.col("d1").alias("bound")).union(asked.select("c2", "d2")), frontier_rows=False)
+    rows, seen = file_depths(ws, graph, asked.select(F.col("c1").alias("root"), F.col("d1").alias("bound")).union(asked.select("c2", "d2")))
     one = asked.join(rows.select(F.col("root").alias("c1"), F.col("bound").alias("d1"), "id", "depth"), ["c1", "d1"])
     return one, seen.select(F.col("root").alias("c2"), F.col("bound").alias("d2"), "id", "depth2")
 
@@ -66,7 +66,7 @@ def fqv(spark: SparkSession, d: str) -> DataFrame:
     """JOIN-4: tagged files of every different ``fqv`` request."""
     ws, graph = Workspace(spark, "fqv"), _graph(spark, d)
     asked = _accepted(graph, spark, d, ws).filter("a = 'fqv'").select(F.col("c1").alias("root"), F.col("d1").alias("bound"))
-    rows, _ = listing(ws, graph, asked, frontier_rows=False)
+    rows, _ = file_depths(ws, graph, asked)
     tags = _tags(Workspace(spark, "tags"), graph, spark, d)
     return rows.join(tags, "id").filter("tag between 1 and 4").select(F.col("root").alias("c1"), F.col("bound").alias("d1"), "id", (F.col("depth") + F.col("good_depth")).alias("depth"), "tag")
 
