@@ -90,3 +90,14 @@ def check_graph(graph: CategoryGraph) -> CategoryGraph:
     if bad:
         raise ValueError(f"unsound graph: {bad}")
     return graph
+
+
+def categories_among(graph: CategoryGraph, ids: DataFrame) -> DataFrame:
+    """The rows of ``ids`` (column ``id``) that are categories a query can meet."""
+    return ids.join(graph.categories.filter(F.col("cat") < graph.limit).select(F.col("cat").alias("id")), "id", "left_semi")
+
+
+def files_among(graph: CategoryGraph, ids: DataFrame) -> DataFrame:
+    """The rows of ``ids`` that are within the id range and no category: files, and ids that nothing is known of."""
+    inside = ids.filter((F.col("id") >= 0) & (F.col("id") < graph.limit))
+    return inside.join(graph.categories.select(F.col("cat").alias("id")), "id", "left_anti")

@@ -1,6 +1,9 @@
 """Sources, snapshots, request texts, the engine and the request stream."""
 
 import os
+import threading
+import urllib.error
+import urllib.request
 
 import pytest
 from model import FIXTURE, SEEDS
@@ -10,6 +13,7 @@ from taxograph.operators.actions import REQUEST
 from taxograph.operators.graph import build_graph
 from taxograph.plans import requests as R
 from taxograph.plans.engine import Engine
+from taxograph.plans.http import server
 from taxograph.sources import links as L
 from taxograph.sources import snapshots as S
 from taxograph.streaming.served import serve
@@ -65,6 +69,14 @@ def test_engine_and_stream(spark, tmp_path):
     with pytest.raises(R.RequestError):
         engine.submit({"c1": "4"}).result()
     assert '"queue": 0' in engine.status() and '"relsize": 5800001' in engine.status()
+    web = server(engine)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{web.server_address[1]}"
+    assert urllib.request.urlopen(f"{base}/?c1=100&c2=200&a=not").read().decode().startswith("RESULT 102,0,0|103,1,0\nOUTOF 2\nDBAGE ")
+    with pytest.raises(urllib.error.HTTPError, match="500"):
+        urllib.request.urlopen(f"{base}/?c2=1")
+    assert urllib.request.urlopen(f"{base}/status").headers["Access-Control-Allow-Origin"] == "*"
+    web.shutdown()
     full = Engine.__new__(Engine)
     full.__dict__ |= engine.__dict__ | {"waiting": 999}
     with pytest.raises(R.RequestError):

@@ -6,7 +6,7 @@ import pytest
 from model import FIXTURE, SEEDS, Model
 
 from taxograph.operators.actions import REQUEST, answer, good_tags
-from taxograph.operators.graph import build_graph, violations
+from taxograph.operators.graph import build_graph, categories_among, check_graph, files_among, violations
 from taxograph.workspace import Workspace
 
 LINK = "child int, parent int, type string, seq bigint"
@@ -110,5 +110,10 @@ def test_graph_rules(spark):
     strict = build_graph(df, strict=True)
     assert sorted(map(tuple, strict.files.collect())) == [(1, 5), (2, 8)] and strict.subcats.count() == 0
     assert {r["rule"]: r["n"] for r in violations(merged).collect()} == {"file is a category": 0, "subcategory is no category": 0, "file beyond the last category": 3}
+    ids = spark.createDataFrame([(None,), (-1,), (0,), (1,), (3,), (6,), (99,)], "id int")
+    assert sorted(r["id"] for r in categories_among(merged, ids).collect()) == [1, 3] and [r["id"] for r in files_among(merged, ids).collect()] == [0]
+    assert check_graph(merged) is merged
+    with pytest.raises(ValueError):
+        check_graph(build_graph(spark.createDataFrame([(2, 1, "s", 0), (2, 3, "f", 1)], LINK)))
     empty = build_graph(df.limit(0))
     assert empty.limit == 1 and empty.categories.count() == 0
