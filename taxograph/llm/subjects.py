@@ -43,6 +43,8 @@ BLOCK = 1024
 
 CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
 LETTERS = re.compile(r"[^\W\d_]{2,}")
+#: The same for texts of ASCII characters only, which it finds faster.
+ASCII_LETTERS = re.compile(r"[A-Za-z]{2,}")
 #: Different names that a worker keeps the terms of.
 KNOWN_NAMES = 300_000
 
@@ -57,9 +59,14 @@ def terms_of_name(name: str) -> list[str]:
     return [stem(w) for w in (x.lower() for x in CASE.split(name)) if len(w) > 1]
 
 
+def names_of(text: str) -> set[str]:
+    """The distinct runs of letters of a text."""
+    return set((ASCII_LETTERS if text.isascii() else LETTERS).findall(text))
+
+
 def terms_of(text: str | None) -> list[str]:
     """The distinct terms of a text, sorted; none for a null text."""
-    return sorted({t for name in set(LETTERS.findall(text)) for t in terms_of_name(name)}) if text else []
+    return sorted({t for name in names_of(text) for t in terms_of_name(name)}) if text else []
 
 
 def bucket_of(term: str) -> int:
@@ -83,9 +90,9 @@ def _extract(batches: Iterator) -> Iterator:
     for batch, texts in _chunks(batches, "text"):
         terms, buckets = [], []
         for text in texts.to_pylist():
-            own = {x for name in set(LETTERS.findall(text)) for x in known[name]} if text else ()
+            own = {x for name in names_of(text) for x in known[name]} if text else ()
             terms.append([t for t, _ in own])
-            buckets.append(sorted({b for _, b in own}))
+            buckets.append(list({b for _, b in own}))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(terms, pa.list_(pa.string())), pa.array(buckets, pa.list_(pa.int32()))], ["doc_id", "terms", "buckets"])
 
 
@@ -98,8 +105,9 @@ class Basis:
     vectors: object  # rows x rank
     mean: object | None = None
 
-    def rows(self, lists):
-        """(document, row, weight) of the entries of documents given as a list array of buckets; documents have unit length."""
+    def entries(self, lists) -> Iterator:
+        """(document, rows, weights) of the documents with features, given as a list array of distinct buckets; documents
+        have unit length. One at a time: what a document needs then stays in the processor's cache."""
         import numpy as np
 
         offsets = lists.offsets.to_numpy()
@@ -110,17 +118,19 @@ class Basis:
         doc, row = doc[keep], row[keep]
         w = self.weight[row]
         norm = np.sqrt(np.bincount(doc, w * w, len(lists)))
-        return doc, row, (w / norm[doc]).astype("float32")
+        w = (w / norm[doc]).astype("float32")
+        ends = np.searchsorted(doc, np.arange(len(lists) + 1)).tolist()
+        for d, (i, j) in enumerate(zip(ends, ends[1:], strict=False)):
+            if i < j:
+                yield d, row[i:j], w[i:j]
 
     def project(self, lists):
         """Projection of each document: documents x rank."""
         import numpy as np
 
         out = np.zeros((len(lists), self.vectors.shape[1]), dtype="float32")
-        doc, row, w = self.rows(lists)
-        if len(doc):
-            starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
-            out[doc[starts]] = np.add.reduceat(self.vectors[row] * w[:, None], starts, axis=0)
+        for d, row, w in self.entries(lists):
+            out[d] = w @ self.vectors[row]
         return out
 
     def embed(self, lists):
@@ -146,16 +156,11 @@ def _products(basis: Basis, batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     total = np.zeros((len(basis.weight), basis.vectors.shape[1] + 1), dtype="float32")
+    z = np.ones(total.shape[1], dtype="float32")
     for _, lists in _chunks(batches, "buckets"):
-        doc, row, w = basis.rows(lists)
-        if not len(doc):
-            continue
-        z = basis.project(lists)
-        order = np.argsort(row, kind="stable")
-        doc, row, w = doc[order], row[order], w[order]
-        starts = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-        total[row[starts], :-1] += np.add.reduceat(z[doc] * w[:, None], starts, axis=0)
-        total[row[starts], -1] += np.add.reduceat(w, starts)
+        for _, row, w in basis.entries(lists):
+            z[:-1] = w @ basis.vectors[row]
+            total[row] += np.outer(w, z)
     for block in range(0, len(total), BLOCK):
         part = total[block : block + BLOCK]
         if part.any():
