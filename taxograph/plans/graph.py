@@ -151,11 +151,14 @@ def loops(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dfs_path(spark: SparkSession, d: str) -> DataFrame:
-    """CLI-3, for the busiest category and the deepest one below any root."""
+    """CLI-3, from the category with the most subcategories to the last of their subcategories."""
     graph = _graph(spark, d)
     start = graph.subcats.groupBy("parent").count().orderBy(F.desc("count"), "parent").first()
-    goal = graph.subcats.orderBy(F.desc("child")).first()
-    return I.first_path(graph, start["parent"] if start else 0, goal["child"] if goal else 0)
+    if start is None:
+        return I.first_path(graph, 0, 0)
+    below = graph.subcats.filter(F.col("parent") == start["parent"]).select(F.col("child").alias("parent"), F.col("pos").alias("first"))
+    goal = graph.subcats.join(below, "parent").orderBy(F.desc("first"), F.desc("pos")).first()
+    return I.first_path(graph, start["parent"], goal["child"] if goal else start["parent"])
 
 
 def union_counts(spark: SparkSession, d: str) -> DataFrame:
