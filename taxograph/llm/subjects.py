@@ -1,14 +1,17 @@
 """Subject areas of documents: term weighting, truncated singular value decomposition, seed centroids refined by cosine.
 
 1. Each text becomes its set of terms: words of names, comments and strings, split at case changes and underscores, lower
-   case, plural s dropped. A term is hashed to one of ``BUCKETS`` features, weighted by inverse document frequency.
-2. Subspace iteration over all documents gives the ``RANK`` leading right singular vectors; each pass sums, over the
-   documents, their contribution to X'XQ. A document's embedding is its projection, centred and of unit length.
-3. Seeds are the mean embeddings of an area's labelled documents and of its description. In each round every document goes
-   to its nearest centroid of cosine ``NEAR`` or more, and centroids become the means of their documents. Labelled
-   documents far from all centroids (another language, say) seed further centroids, kept if labels around them agree.
-4. Terms at least half of whose documents are nearest to one area are that area's terms. A document is written for each
-   area of which it has ``MIN_TERMS`` different terms, so one with several areas gets them all and a stray word none.
+   case, plural s dropped. A term is hashed to one of ``BUCKETS`` features, weighted by inverse document frequency; a
+   document has unit length, so a long text weighs no more than a short one.
+2. Subspace iteration over all documents gives the ``RANK`` leading right singular vectors: each pass sums, over the
+   documents, their contribution to X'XQ, and the sums of the tasks meet in rounds of ``FAN_IN``. The last pass also gives the
+   covariance of the projections, by which they are whitened: a language of few documents then counts as one of many does.
+3. Seeds are the mean embeddings of an area's labelled documents and of its description, less the mean of documents without an
+   area. The centroids are freed of what they have in common, and each is a direction among the features. In each
+   round every document gets the areas whose direction it meets at a cosine of at least a threshold; the centroids become
+   the means of the documents that have one area only, the mean of the others is taken anew. The threshold is the one that
+   fits the labelled documents best.
+4. A document is written for each area that it meets at that cosine after the last round: several, one or none.
 
 Everything that is sent to the driver or to all tasks is bounded by BUCKETS, RANK, the number of areas and ``MAX_LABELLED``.
 Only labels are sampled; all statistics and the assignment cover all documents.
@@ -28,18 +31,21 @@ from taxograph.workspace import Workspace
 
 BUCKETS = 1 << 16
 RANK = 64
-PASSES = 3
+#: Passes over the features: all but the last turn the basis, the last measures it.
+PASSES = 4
 ROUNDS = 4
-NEAR = 0.3
+#: Added to the standard deviation of each direction when it is whitened.
+RIDGE = 0.04
+#: The least cosine where no labels tell a better one.
+NEAR = 0.11
 #: A feature in fewer documents has no weight.
 MIN_DOCUMENTS = 3
-MIN_TERMS = 3
-TERM_SHARE = 0.5
 #: Labelled documents used as seeds, those with the smallest hash of their id if there are more.
 MAX_LABELLED = 20_000
-AGREE = 0.7
 CHUNK = 256
 BLOCK = 1024
+#: Sums of so many tasks are added by one group.
+FAN_IN = 16
 
 CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
 LETTERS = re.compile(r"[^\W\d_]{2,}")
@@ -69,31 +75,31 @@ def terms_of(text: str | None) -> list[str]:
     return sorted({t for name in names_of(text) for t in terms_of_name(name)}) if text else []
 
 
-def bucket_of(term: str) -> int:
-    return zlib.crc32(term.encode()) % BUCKETS
+def bucket_of(term: str, buckets: int = BUCKETS) -> int:
+    return zlib.crc32(term.encode()) % buckets
 
 
 class _Names(dict):
-    """Terms and buckets of names met before."""
+    """Features of names met before."""
+
+    def __init__(self, buckets: int):
+        super().__init__()
+        self.buckets = buckets
 
     def __missing__(self, name: str):
         if len(self) > KNOWN_NAMES:
             self.clear()
-        found = self[name] = [(t, bucket_of(t)) for t in terms_of_name(name)]
+        found = self[name] = [bucket_of(t, self.buckets) for t in terms_of_name(name)]
         return found
 
 
-def _extract(batches: Iterator) -> Iterator:
+def _extract(buckets: int, batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    known = _Names()
+    known = _Names(buckets)
     for batch, texts in _chunks(batches, "text"):
-        terms, buckets = [], []
-        for text in texts.to_pylist():
-            own = {x for name in names_of(text) for x in known[name]} if text else ()
-            terms.append([t for t, _ in own])
-            buckets.append(list({b for _, b in own}))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(terms, pa.list_(pa.string())), pa.array(buckets, pa.list_(pa.int32()))], ["doc_id", "terms", "buckets"])
+        lists = [list({b for name in names_of(text) for b in known[name]}) if text else [] for text in texts.to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lists, pa.list_(pa.int32()))], ["doc_id", "buckets"])
 
 
 @dataclass
@@ -103,7 +109,7 @@ class Basis:
     row: object  # of each bucket: its row, -1 without weight
     weight: object  # of each row
     vectors: object  # rows x rank
-    mean: object | None = None
+    whitening: object | None = None  # rank x rank
 
     def entries(self, lists) -> Iterator:
         """(document, rows, weights) of the documents with features, given as a list array of distinct buckets; documents
@@ -125,7 +131,7 @@ class Basis:
                 yield d, row[i:j], w[i:j]
 
     def project(self, lists):
-        """Projection of each document: documents x rank."""
+        """Projection of each document: documents x rank; zero for a document without features."""
         import numpy as np
 
         out = np.zeros((len(lists), self.vectors.shape[1]), dtype="float32")
@@ -133,15 +139,6 @@ class Basis:
             out[d] = w @ self.vectors[row]
         return out
 
-    def embed(self, lists):
-        """Centred projections of unit length; zero for a document without features."""
-        import numpy as np
-
-        z = self.project(lists)
-        some = np.any(z, axis=1)
-        z = np.where(some[:, None], z - self.mean, 0)
-        return (z / np.maximum(np.linalg.norm(z, axis=1), 1e-9)[:, None]).astype("float32")
-
 
 def _chunks(batches: Iterator, column: str) -> Iterator:
     for batch in batches:
@@ -154,6 +151,7 @@ def _products(basis: Basis, batches: Iterator) -> Iterator:
     """The task's part of X'XQ, with the column sums of X beside it, in blocks of rows."""
     import numpy as np
     import pyarrow as pa
+    from pyspark import TaskContext
 
     total = np.zeros((len(basis.weight), basis.vectors.shape[1] + 1), dtype="float32")
     z = np.ones(total.shape[1], dtype="float32")
@@ -161,10 +159,11 @@ def _products(basis: Basis, batches: Iterator) -> Iterator:
         for _, row, w in basis.entries(lists):
             z[:-1] = w @ basis.vectors[row]
             total[row] += np.outer(w, z)
+    task = TaskContext.get().partitionId()
     for block in range(0, len(total), BLOCK):
         part = total[block : block + BLOCK]
         if part.any():
-            yield pa.RecordBatch.from_arrays([pa.array([block // BLOCK], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array([block // BLOCK], pa.int32()), pa.array([task], pa.int32()), pa.array([part.tobytes()], pa.binary())], ["block", "node", "part"])
 
 
 def _add_blocks(pdf):
@@ -174,10 +173,18 @@ def _add_blocks(pdf):
     total = np.frombuffer(pdf["part"].iloc[0], dtype="float32").astype("float64")
     for part in pdf["part"].iloc[1:]:
         total += np.frombuffer(part, dtype="float32")
-    return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "part": [total.astype("float32").tobytes()]})
+    return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "node": [int(pdf["node"].iloc[0])], "part": [total.astype("float32").tobytes()]})
 
 
-def singular_vectors(features: DataFrame, rank: int = RANK, passes: int = PASSES, seed: int = 7) -> Basis | None:
+def add_parts(parts: DataFrame, tasks: int, fan_in: int = FAN_IN) -> DataFrame:
+    """``(block, node, part)`` with the parts of each block added up, at most ``fan_in`` of them by one group in each round."""
+    while tasks > 1:
+        parts = parts.withColumn("node", F.floor(F.col("node") / fan_in).cast("int")).groupBy("block", "node").applyInPandas(_add_blocks, "block int, node int, part binary")
+        tasks = -(-tasks // fan_in)
+    return parts
+
+
+def singular_vectors(features: DataFrame, rank: int = RANK, passes: int = PASSES, seed: int = 7, buckets: int = BUCKETS, fan_in: int = FAN_IN) -> Basis | None:
     """The basis of all documents' features (column ``buckets``); none if no feature has a weight."""
     import numpy as np
 
@@ -186,21 +193,26 @@ def singular_vectors(features: DataFrame, rank: int = RANK, passes: int = PASSES
     counts = features.select(F.explode("buckets").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") >= MIN_DOCUMENTS) & (F.col("n") < n)).toPandas().sort_values("b")  # at most BUCKETS rows
     if counts.empty:
         return None
-    row = np.full(BUCKETS, -1, dtype="int32")
+    row = np.full(buckets, -1, dtype="int32")
     row[counts["b"].to_numpy()] = np.arange(len(counts), dtype="int32")
     rank = min(rank, len(counts))
-    start = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(counts), rank)))[0]
-    basis = Basis(row, np.log(n / counts["n"].to_numpy()).astype("float32"), start.astype("float32"))
-    width = rank + 1
-    for _ in range(passes):
+    vectors = np.linalg.qr(np.random.default_rng(seed).standard_normal((len(counts), rank)))[0]
+    weight = np.log(n / counts["n"].to_numpy()).astype("float32")
+    width, tasks = rank + 1, features.select("buckets").rdd.getNumPartitions()
+    for turn in range(passes):
+        basis = Basis(row, weight, vectors.astype("float32"))
         shared = spark.sparkContext.broadcast(basis)
-        parts = features.select("buckets").mapInArrow(lambda batches, s=shared: _products(s.value, batches), "block int, part binary")
+        parts = features.select("buckets").mapInArrow(lambda batches, s=shared: _products(s.value, batches), "block int, node int, part binary")
         summed = np.zeros((len(counts), width))
-        for r in parts.groupBy("block").applyInPandas(_add_blocks, "block int, part binary").collect():  # at most BUCKETS x (RANK + 1) numbers
+        for r in add_parts(parts, tasks, fan_in).collect():  # at most BUCKETS x (RANK + 1) numbers
             part = np.frombuffer(r["part"], dtype="float32").reshape(-1, width)
-            summed[r["block"] * BLOCK : r["block"] * BLOCK + len(part)] = part
-        basis = Basis(row, basis.weight, np.linalg.qr(summed[:, :-1])[0].astype("float32"))
-        basis.mean = (summed[:, -1] @ basis.vectors / n).astype("float32")
+            summed[r["block"] * BLOCK : r["block"] * BLOCK + len(part)] += part
+        if turn < passes - 1:
+            vectors = np.linalg.qr(summed[:, :-1])[0]
+        shared.unpersist()
+    mean = summed[:, -1] @ basis.vectors / n
+    spread, axes = np.linalg.eigh(basis.vectors.T.astype("float64") @ summed[:, :-1] / n - np.outer(mean, mean))
+    basis.whitening = axes / (np.sqrt(np.maximum(spread, 0)) + RIDGE)
     return basis
 
 
@@ -208,106 +220,115 @@ def _embed(basis: Basis, batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for part, lists in _chunks(batches, "buckets"):
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("row"), part.column("terms"), pa.array([z.tobytes() for z in basis.embed(lists)], pa.binary())], ["doc_id", "row", "terms", "z"])
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([z.tobytes() for z in basis.project(lists)], pa.binary())], ["doc_id", "z"])
 
 
-def _nearest(z, centroids):
-    """Of each embedding: the nearest centroid, -1 if none is near."""
+def _unit(m):
     import numpy as np
 
-    s = z @ centroids.T
-    return np.where(s.max(axis=1) >= NEAR, s.argmax(axis=1), -1)
+    return m / np.maximum(np.linalg.norm(m, axis=-1, keepdims=True), 1e-9)
 
 
-def _sums(centroids, batches: Iterator) -> Iterator:
-    """The task's sum of the embeddings nearest to each centroid, a row for each centroid and dimension."""
-    import numpy as np
-    import pyarrow as pa
+@dataclass
+class Centroids:
+    """The mean of documents without an area, the centroids (whitened, of unit length) and the least cosine."""
 
-    total = np.zeros(centroids.shape)
-    for _, column in _chunks(batches, "z"):
-        z = np.frombuffer(b"".join(column.to_pylist()), dtype="float32").reshape(-1, centroids.shape[1])
-        near = _nearest(z, centroids)
-        for c in np.unique(near[near >= 0]):
-            total[c] += z[near == c].sum(axis=0)
-    c, j = np.indices(centroids.shape)
-    yield pa.RecordBatch.from_arrays([pa.array(c.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(total.ravel())], ["c", "j", "v"])
+    plain: object
+    centres: object
+    whitening: object
+    least: float = NEAR
 
+    def directions(self):
+        """Of each centroid, without what others have of it, the direction in the space of the projections: areas x rank."""
+        import numpy as np
 
-def _unit(m):
-    import numpy as np
+        alone = np.linalg.solve(self.centres @ self.centres.T + 1e-6 * np.eye(len(self.centres)), self.centres)
+        return _unit(alone @ self.whitening.T)
+
+    def cosines(self, z):
+        """Cosine of each document, which has unit length, with each direction; -1 for a document without features."""
+        import numpy as np
+
+        return np.where(np.any(z, axis=1)[:, None], (z - self.plain) @ self.directions().T, -1.0)
+
+    def fit(self, z, labels) -> None:
+        """Set the least cosine to the middle of those that fit the labels best (F measure, a row of flags a document)."""
+        import numpy as np
 
-    return m / np.maximum(np.linalg.norm(m, axis=1), 1e-9)[:, None]
+        if not len(z) or not labels.any():
+            return
+        cosines = self.cosines(z)
+        steps = np.linspace(0.02, 0.6, 117)
+        taken = [cosines >= t for t in steps]
+        fits = np.array([2 * (x & labels).sum() / (x.sum() + labels.sum()) for x in taken])
+        self.least = float(np.median(steps[fits >= fits.max() - 0.001]))
 
 
-def _seeds(z, labels: list[list[int]], about, areas: int):
-    """First centroids: the mean of an area's labelled documents, each shared among its labels, and its description."""
+def _arrays(column, rank: int):
     import numpy as np
 
-    first = np.array(about, dtype="float64")
-    for v, own in zip(z, labels, strict=True):
-        for a in own:
-            first[a] += v / len(own)
-    return _unit(first), np.arange(areas)
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="float32").reshape(-1, rank)
 
 
-def _further(z, labels: list[list[int]], near) -> list[tuple[int, object]]:
-    """For each area, the largest bundle of labelled documents that are far from all centroids but near each other, if
-    most of the bundle has that label."""
+def _sums(now: Centroids, batches: Iterator) -> Iterator:
+    """The task's sums of the embeddings that have one area only, and of those without one (the last): ``(c, j, v)``; j = rank counts them."""
     import numpy as np
+    import pyarrow as pa
 
-    left = np.flatnonzero(near < 0)
-    if len(left) < 2:
-        return []
-    far = z[left]
-    out = []
-    for a in sorted({x for n in left for x in labels[n]}):
-        has = np.array([a in labels[n] for n in left])
-        close = far[has] @ far.T >= NEAR
-        hits, total = (close & has).sum(axis=1), close.sum(axis=1)
-        hits = np.where((hits >= 2) & (hits >= AGREE * total), hits, 0)
-        if hits.max(initial=0):
-            out.append((a, far[close[int(hits.argmax())]].mean(axis=0)))
-    return out
-
-
-def centroids(embedded: DataFrame, z, labels: list[list[int]], about, areas: int, rounds: int = ROUNDS):
-    """(centroids, area of each) after ``rounds`` rounds over all documents. ``z``, ``labels``: the labelled sample."""
+    areas, rank = now.centres.shape
+    total = np.zeros((areas + 1, rank + 1))
+    for _, column in _chunks(batches, "z"):
+        z = _arrays(column, rank)
+        z = z[np.any(z, axis=1)]
+        taken = now.cosines(z) >= now.least
+        own = taken.sum(axis=1)
+        for c in range(areas + 1):
+            of = z[(own == 1) & taken[:, c]] if c < areas else z[own == 0]
+            total[c, :-1] += of.sum(axis=0)
+            total[c, -1] += len(of)
+    c, j = np.nonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(j, pa.int32()), pa.array(total[c, j])], ["c", "j", "v"])
+
+
+def centroids(embedded: DataFrame, basis: Basis, z, labels, about, rounds: int = ROUNDS) -> Centroids:
+    """The centroids after ``rounds`` rounds over all documents (column ``z``).
+
+    ``z`` and ``labels`` (flags, a column an area) are the labelled sample, ``about`` the projected descriptions of the areas.
+    """
     import numpy as np
 
     spark = embedded.sparkSession
-    now, area = _seeds(z, labels, about, areas)
-    for turn in range(rounds):
-        near = _nearest(z, now) if len(z) else np.zeros(0, int)
-        seen, right = np.zeros(len(area)), np.zeros(len(area))
-        for c, own in zip(near, labels, strict=True):
-            if c >= 0:
-                seen[c] += 1
-                right[c] += area[c] in own
-        kept = (np.arange(len(area)) < areas) | ((seen >= 2) & (right >= AGREE * seen))
-        if not kept.all():
-            now, area = now[kept], area[kept]
-            near = _nearest(z, now)
-        more = _further(z, labels, near) if turn < rounds - 1 else []
+    areas, rank = about.shape
+    without = z[~labels.any(axis=1)] if len(z) else z
+    plain = without.mean(axis=0) if len(without) else z.mean(axis=0) if len(z) else np.zeros(rank)
+    share = labels / np.maximum(labels.sum(axis=1, keepdims=True), 1)
+    told = np.where(np.any(about, axis=1)[:, None], about - plain, 0)
+    now = Centroids(plain, _unit((share.T @ (z - plain) + told) @ basis.whitening), basis.whitening)
+    now.fit(z, labels)
+    for _ in range(rounds):
         shared = spark.sparkContext.broadcast(now)
-        rows = embedded.select("z").mapInArrow(lambda batches, s=shared: _sums(s.value, batches), "c int, j int, v double").groupBy("c", "j").agg(F.sum("v").alias("v")).collect()  # centroids x rank
-        moved = np.zeros(now.shape)
+        rows = embedded.select("z").mapInArrow(lambda batches, s=shared: _sums(s.value, batches), "c int, j int, v double").groupBy("c", "j").agg(F.sum("v").alias("v")).collect()  # (areas + 1) x (rank + 1) numbers
+        shared.unpersist()
+        total = np.zeros((areas + 1, rank + 1))
         for r in rows:
-            moved[r["c"], r["j"]] = r["v"]
-        now = _unit(np.where(np.any(moved, axis=1)[:, None], moved, now))
-        if more:
-            now, area = _unit(np.vstack([now, [v for _, v in more]])), np.concatenate([area, [a for a, _ in more]])
-    return now, area
+            total[r["c"], r["j"]] = r["v"]
+        means = total[:, :-1] / np.maximum(total[:, -1:], 1)
+        plain = means[-1] if total[-1, -1] else now.plain
+        centres = np.where(total[:-1, -1:] > 0, _unit((means[:-1] - plain) @ basis.whitening), now.centres)
+        now = Centroids(plain, centres, basis.whitening, now.least)
+        now.fit(z, labels)
+    return now
 
 
-def _placed(now, area, batches: Iterator) -> Iterator:
-    """(area of the nearest centroid or -1, terms) of each document."""
+def _placed(now: Centroids, batches: Iterator) -> Iterator:
+    """A row (doc_id, area, cosine) for each area of each document."""
     import numpy as np
     import pyarrow as pa
 
     for part, column in _chunks(batches, "z"):
-        near = _nearest(np.frombuffer(b"".join(column.to_pylist()), dtype="float32").reshape(-1, now.shape[1]), now)
-        yield pa.RecordBatch.from_arrays([pa.array(np.where(near >= 0, area[near], -1), pa.int32()), part.column("terms")], ["area", "terms"])
+        cosines = now.cosines(_arrays(column, now.centres.shape[1]))
+        d, a = np.nonzero(cosines >= now.least)
+        yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(d)), pa.array(a, pa.int32()), pa.array(cosines[d, a], pa.float64())], ["doc_id", "area", "cosine"])
 
 
 def labelled_sample(labels: DataFrame, names: list[str], limit: int = MAX_LABELLED) -> DataFrame:
@@ -319,43 +340,42 @@ def labelled_sample(labels: DataFrame, names: list[str], limit: int = MAX_LABELL
     return of.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
 
 
-def subjects(documents: DataFrame, areas: DataFrame, labels: DataFrame, workspace: Workspace, rank: int = RANK, min_terms: int = MIN_TERMS, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """``(doc_id, subject, n_terms)``: the areas, as spelt in ``areas``, that each document is written for.
+def subjects(documents: DataFrame, areas: DataFrame, labels: DataFrame, workspace: Workspace, rank: int = RANK, max_labelled: int = MAX_LABELLED, buckets: int = BUCKETS) -> DataFrame:
+    """``(doc_id, subject, cosine)``: the areas, as spelt in ``areas``, that each document is written for.
 
     Reads ``doc_id, text``; ``subject, about``; ``doc_id, subject``. Null, empty and blank texts have no area. Labels of
-    unknown spelling are left out, case and outer blanks aside; without any label the descriptions alone are the seeds.
-    Rows that share a ``doc_id`` are looked at apart and have one row for each area of any of them; without areas or documents the result is empty.
+    unknown spelling are left out, case and outer blanks aside; without any label the descriptions alone are the seeds and
+    ``NEAR`` is the least cosine. Rows that share a ``doc_id`` are looked at apart and have one row for each area of any of
+    them, with the largest cosine; as a labelled document the first of them counts. Without areas or documents the result is empty.
     """
     import numpy as np
+    import pyarrow as pa
 
     spark = documents.sparkSession
-    empty = spark.createDataFrame([], "doc_id bigint, subject string, n_terms bigint")
+    empty = spark.createDataFrame([], "doc_id bigint, subject string, cosine double")
     listed = sorted((r["subject"], r["about"] or "") for r in areas.select("subject", "about").filter("subject is not null").distinct().limit(BLOCK + 1).collect())
     if len(listed) > BLOCK:
         raise ValueError(f"more than {BLOCK} subject areas")
     if not listed:
         return empty
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    features = workspace.write(rows.mapInArrow(_extract, "doc_id bigint, terms array<string>, buckets array<int>").withColumn("row", F.monotonically_increasing_id()), "features")
-    basis = singular_vectors(features, rank)
+    features = workspace.write(rows.mapInArrow(lambda batches: _extract(buckets, batches), "doc_id bigint, buckets array<int>"), "features")
+    basis = singular_vectors(features, rank, buckets=buckets)
     if basis is None:
         return empty
     shared = spark.sparkContext.broadcast(basis)
-    embedded = workspace.write(features.mapInArrow(lambda batches: _embed(shared.value, batches), "doc_id bigint, row bigint, terms array<string>, z binary"), "embedded")
+    embedded = workspace.write(features.mapInArrow(lambda batches: _embed(shared.value, batches), "doc_id bigint, z binary"), "embedded")
     workspace.drop("features")
-    sample = embedded.join(workspace.write(labelled_sample(labels, [s.strip().lower() for s, _ in listed], max_labelled), "labelled"), "doc_id").select("doc_id", "z", "areas").collect()  # at most max_labelled documents
-    sample.sort(key=lambda r: (r["doc_id"], r["z"]))
-    z = np.array([np.frombuffer(r["z"], dtype="float32") for r in sample], dtype="float64").reshape(len(sample), basis.vectors.shape[1])
-    import pyarrow as pa
-
-    about = basis.embed(pa.array([sorted({bucket_of(t) for t in terms_of(f"{s} {x}")}) for s, x in listed], pa.list_(pa.int32())))
-    now, area = centroids(embedded, z, [list(r["areas"]) for r in sample], about, len(listed))
-    final = spark.sparkContext.broadcast((now.astype("float32"), area))
-    placed = embedded.select("z", "terms").mapInArrow(lambda batches: _placed(*final.value, batches), "area int, terms array<string>")
-    counted = placed.select("area", F.explode("terms").alias("term")).groupBy("term", "area").agg(F.count(F.lit(1)).alias("n"))
-    best = F.max(F.when(F.col("area") >= 0, F.struct("n", "area"))).alias("best")
-    lexicon = counted.groupBy("term").agg(F.sum("n").alias("df"), best).filter((F.col("best.n") >= MIN_DOCUMENTS) & (F.col("best.n") >= TERM_SHARE * F.col("df"))).select("term", "best.area")
-    lexicon = workspace.write(lexicon, "lexicon")
-    hits = embedded.select("row", "doc_id", F.explode("terms").alias("term")).join(lexicon, "term").groupBy("row", "doc_id", "area").agg(F.count(F.lit(1)).alias("n_terms")).filter(F.col("n_terms") >= min_terms)
+    labelled = workspace.write(labelled_sample(labels, [s.strip().lower() for s, _ in listed], max_labelled), "labelled")
+    sample = embedded.join(F.broadcast(labelled), "doc_id").groupBy("doc_id").agg(F.min(F.struct("z", "areas")).alias("x")).select("doc_id", "x.*").collect()  # at most max_labelled documents
+    sample.sort(key=lambda r: r["doc_id"])
+    width = basis.vectors.shape[1]
+    z = np.array([np.frombuffer(r["z"], dtype="float32") for r in sample], dtype="float64").reshape(len(sample), width)
+    flags = np.zeros((len(sample), len(listed)), dtype=bool)
+    for k, r in enumerate(sample):
+        flags[k, list(r["areas"])] = True
+    about = basis.project(pa.array([sorted({bucket_of(t, buckets) for t in terms_of(f"{s} {x}")}) for s, x in listed], pa.list_(pa.int32())))
+    final = spark.sparkContext.broadcast(centroids(embedded, basis, z, flags, about))
+    placed = embedded.mapInArrow(lambda batches: _placed(final.value, batches), "doc_id bigint, area int, cosine double")
     spelt = F.element_at(F.array(*(F.lit(s) for s, _ in listed)), F.col("area") + 1)
-    return hits.groupBy("doc_id", spelt.alias("subject")).agg(F.max("n_terms").alias("n_terms"))
+    return placed.groupBy("doc_id", "area").agg(F.max("cosine").alias("cosine")).select("doc_id", spelt.alias("subject"), "cosine")

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -110,10 +111,36 @@ def test_subjects(spark):
             labels += [(d, rnd.choice([a.upper(), f" {a}"]), "r") for a in own] or [(d, "None", "r")]
     docs += [(1000, None, "x"), (1001, "", "x"), (1002, "  ", "x")]
     frames = (spark.createDataFrame(docs, "doc_id bigint, text string, subject string"), spark.createDataFrame([(a.upper(), None) for a in areas], "subject string, about string"), spark.createDataFrame([*labels, (None, "sky", "r"), (5, None, "r"), (5, "nowhere", "r")], "doc_id bigint, subject string, reader string"))
-    got = {(r["doc_id"], r["subject"]) for r in subjects.subjects(*frames, Workspace(spark, "test"), rank=16).collect()}
+    found = subjects.subjects(*frames, Workspace(spark, "test"), rank=16)
+    got = {(r["doc_id"], r["subject"]) for r in found.collect()}
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.02 * len(got)
+    assert found.count() == len(got) and found.agg({"cosine": "max"}).first()[0] <= 1
+    twice = subjects.subjects(frames[0].union(frames[0]), frames[1], frames[2], Workspace(spark, "test"), rank=16)
+    assert twice.count() == twice.select("doc_id", "subject").distinct().count()
     ws = Workspace(spark, "test")
     assert subjects.subjects(frames[0].limit(0), frames[1], frames[2], ws).collect() == []
     assert subjects.subjects(frames[0], frames[1].limit(0), frames[2], ws).collect() == []
     assert subjects.subjects(frames[0].limit(3), frames[1], frames[2].limit(0), Workspace(spark, "test")).count() >= 0
     assert subjects.terms_of("getTrains_fooBar HTTPClass") == ["bar", "foo", "get", "httpclass", "train"]
+
+
+def test_singular_vectors_and_rounds_of_sums(spark):
+    rng = np.random.default_rng(3)
+    rows = [(sorted({int(x) for x in rng.zipf(1.3, 30) % 200 + 40 * (d % 4)}),) for d in range(600)]
+    features = spark.createDataFrame(rows, "buckets array<int>").repartition(23)
+    basis = subjects.singular_vectors(features, rank=8, passes=8, fan_in=3)
+    x = np.zeros((len(rows), len(basis.weight)))
+    for d, (own,) in enumerate(rows):
+        at = basis.row[own]
+        at = at[at >= 0]
+        x[d, at] = basis.weight[at] / max(np.linalg.norm(basis.weight[at]), 1e-9)
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    held = np.linalg.norm(x @ basis.vectors) ** 2
+    assert held >= 0.98 * (s[:8] ** 2).sum()  # the basis holds what the best one of that rank holds
+    z = x @ basis.vectors
+    white = (z - z.mean(0)) @ basis.whitening
+    assert np.allclose(np.cov(white.T, bias=True), np.diag(np.diag(np.cov(white.T, bias=True))), atol=0.02) and white.std(axis=0).max() <= 1.01
+    parts = spark.createDataFrame([(b, n, np.full(4, n, dtype="float32").tobytes()) for b in range(2) for n in range(23)], "block int, node int, part binary")
+    summed = subjects.add_parts(parts, 23, 3)
+    assert {(r["block"], r["node"], np.frombuffer(r["part"], dtype="float32")[0]) for r in summed.collect()} == {(0, 0, 253.0), (1, 0, 253.0)}
+    assert summed._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInPandas") == 3  # 23 parts, 8, 3, 1
