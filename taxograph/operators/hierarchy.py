@@ -2,13 +2,12 @@
 
 All of it is level-wise: a frontier joins the edges, new pairs are kept, until no pair is new. Several levels form one
 job, and the pairs that a job found are written to the shared folder, so neither the lineage nor the number of jobs
-grows with every level.
+grows with every level. Frontier joins are merge joins: nothing is broadcast from the driver level by level, and a node
+with very many children or roots is split by adaptive execution, as an aggregation by another key follows each join.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,8 +16,9 @@ from taxograph.workspace import Workspace
 
 #: Levels joined in one job; the first jobs, with wide frontiers, take fewer.
 LEVELS = (2, 3, 6, 8)
-#: At most so many trimmed edges are finished by one task; more go through distributed rounds.
-TASK_EDGES = 1 << 18
+#: Levels of a frontier that releases nodes, and of one that spreads colours, in one job.
+RELEASES = (4, 8, 12)
+HOPS = (2, 4, 8)
 
 
 def subcategory_edges(links: DataFrame) -> DataFrame:
@@ -44,133 +44,125 @@ def level_search(ws: Workspace, edges: DataFrame, starts: DataFrame, paths: bool
     same join and aggregate: the plan grows by one of each a level, and all levels share one shuffle of the edges and
     one generated code.
     """
-    ends = edges.select(F.col("parent").alias("child")).union(edges.select("child")).distinct()
-    steps = ws.write(edges.select("parent", "child", F.lit(1).alias("step")).union(ends.select(F.col("child").alias("parent"), "child", F.lit(0).alias("step"))), f"{label}-steps")
+    ends = edges.select(F.col("parent").alias("node")).union(edges.select("child")).distinct()
+    steps = ws.write(_with_selves(edges, ends), f"{label}-steps")
     held = [f"{label}-0"]
     first = starts.select("node", "root").distinct().select("node", "root", F.lit(0).alias("depth"), F.lit(True).alias("newest"), *([F.array("node").alias("path")] if paths else []))
-    frontier = ws.write(first, held[0])
+    frontier, more = ws.write_and_look(first, held[0], "newest")
     schema = frontier.schema
     names = [c for c in schema.names if c != "newest"]
     level = 0
-    while (most is None or level < most) and not frontier.isEmpty():
+    while more and (most is None or level < most):
         met, levels = frontier, LEVELS[min(len(held) - 1, len(LEVELS) - 1)]
         level += levels
         for _ in range(levels):
-            step = met.join(steps, met["node"] == steps["parent"]).filter(F.col("newest") | (F.col("step") == 0))
+            step = met.join(steps.hint("merge"), met["node"] == steps["parent"]).filter(F.col("newest") | (F.col("step") == 0))
             taken = [F.col("child").alias("node"), "root", (F.col("depth") + F.col("step")).alias("depth"), (F.col("step") == 1).alias("newest")]
             if paths:
                 taken.append(F.when(F.col("step") == 1, F.concat("path", F.array("child"))).otherwise(F.col("path")).alias("path"))
                 met = step.select(*taken).groupBy("node", "root").agg(F.min(F.struct("depth", "path")).alias("x"), F.bool_and("newest").alias("newest")).select("node", "root", "x.depth", "newest", "x.path")
             else:
                 met = step.select(*taken).groupBy("node", "root").agg(F.min("depth").alias("depth"), F.bool_and("newest").alias("newest"))
-        settled = ws.read(held, schema).select("node", "root")
+        settled = ws.read(held, schema).select("node", "root").hint("merge")
         held.append(f"{label}-{len(held)}")
-        frontier = ws.write(met.join(settled, ["node", "root"], "left_anti").select(*schema.names), held[-1]).filter("newest")
+        frontier, more = ws.write_and_look(met.join(settled, ["node", "root"], "left_anti").select(*schema.names), held[-1], "newest")
+        frontier = frontier.filter("newest")
     return ws.read(held, schema).select(*names)
 
 
-def _components(pdf) -> Iterator[tuple[int, int, int]]:
-    """(node, smallest id of its component, members) of each component of the edges that is a loop; iterative Tarjan."""
-    children: dict[int, list[int]] = {}
-    for a, b in zip(pdf["parent"].tolist(), pdf["child"].tolist(), strict=True):
-        children.setdefault(a, []).append(b)
-    index: dict[int, int] = {}
-    low: dict[int, int] = {}
-    stack: list[int] = []
-    on: set[int] = set()
-    for start in children:
-        if start in index:
-            continue
-        index[start] = low[start] = len(index)
-        stack.append(start)
-        on.add(start)
-        todo = [(start, iter(children[start]))]
-        while todo:
-            v, rest = todo[-1]
-            for w in rest:
-                if w not in index:
-                    index[w] = low[w] = len(index)
-                    stack.append(w)
-                    on.add(w)
-                    todo.append((w, iter(children.get(w, ()))))
-                    break
-                if w in on:
-                    low[v] = min(low[v], index[w])
-            else:
-                todo.pop()
-                if todo:
-                    low[todo[-1][0]] = min(low[todo[-1][0]], low[v])
-                if low[v] == index[v]:
-                    members = [stack.pop()]
-                    while members[-1] != v:
-                        members.append(stack.pop())
-                    on.difference_update(members)
-                    if len(members) > 1 or v in children.get(v, ()):
-                        yield from ((m, min(members), len(members)) for m in members)
-
-
-def _component_rows(pdf):
-    import pandas as pd
+def _with_selves(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(parent, child, step)``: the edges (step 1) and an edge from every node to itself (step 0)."""
+    selves = nodes.select(F.col("node").alias("parent"), F.col("node").alias("child"), F.lit(0).alias("step"))
+    return edges.select("parent", "child", F.lit(1).alias("step")).union(selves)
 
-    return pd.DataFrame(list(_components(pdf)), columns=["node", "component", "members"]).astype({"node": "int32", "component": "int32", "members": "int64"})
 
+def trimmed(ws: Workspace, edges: DataFrame, label: str) -> DataFrame:
+    """The (distinct) edges between nodes that no frontier releases: those on loops or between loops.
 
-def trim_acyclic(edges: DataFrame, rounds: int) -> DataFrame:
-    """Edges left after so many rounds of dropping those whose parent has no parent or whose child has no child."""
-    for _ in range(rounds):
-        edges = edges.join(edges.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi")
-        edges = edges.join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").select("parent", "child")
-    return edges
+    One frontier goes down from the roots, one goes up from the leaves: level by level a node is released once all its
+    parents are, or all its children. The state has a row for each node that is not released yet, with the numbers it waits
+    for; it shrinks from level to level, and nodes that stay unreached are the result.
+    """
+    one, zero = F.lit(1), F.lit(0)
+    ends = edges.select(F.col("parent").alias("node"), zero.alias("ins"), one.alias("outs")).union(edges.select("child", one, zero))
+    degrees = ends.groupBy("node").agg(F.sum("ins").alias("ins"), F.sum("outs").alias("outs"))
+    released = F.col("ins").eqNullSafe(0) | F.col("outs").eqNullSafe(0)
+    state, more = ws.write_and_look(degrees.withColumn("newest", released), f"{label}-state-0", "newest")
+    back = edges.select(F.col("child").alias("parent"), F.col("parent").alias("child"), F.lit(2).alias("step"))
+    steps = ws.write(_with_selves(edges, state).union(back), f"{label}-steps")
+    turn = 0
+    while more:
+        for _ in range(RELEASES[min(turn, len(RELEASES) - 1)]):
+            met = state.join(steps.hint("merge"), F.col("node") == F.col("parent")).filter(F.col("newest") != (F.col("step") == 0))
+            left = lambda step, held: F.sum(F.when(F.col("step") == 0, F.col(held)).when(F.col("step") == step, -1).otherwise(0)).alias(held)
+            state = met.groupBy("child").agg(left(1, "ins"), left(2, "outs"), F.min("step").alias("least")).filter("least = 0").select(F.col("child").alias("node"), "ins", "outs", released.alias("newest"))
+        turn += 1
+        state, more = ws.write_and_look(state, f"{label}-state-{turn}", "newest")
+        ws.drop(f"{label}-state-{turn - 1}")
+    alive = state.filter(~F.col("newest")).select("node")
+    within = edges.select("parent", "child").join(alive.toDF("parent").hint("merge"), "parent", "left_semi").join(alive.toDF("child").hint("merge"), "child", "left_semi")
+    return ws.write(within.select("parent", "child"), label)
+
+
+def _coloured(ws: Workspace, edges: DataFrame, label: str) -> DataFrame:
+    """``(node, colour)``: the largest id that reaches each node, itself included; frontiers start at all nodes and meet."""
+    nodes = ws.write(edges.select(F.col("parent").alias("node")).union(edges.select("child")).distinct(), f"{label}-nodes")
+    steps = ws.write(_with_selves(edges, nodes), f"{label}-steps")
+    state, turn = nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("newest")), 0
+    while True:
+        for _ in range(HOPS[min(turn, len(HOPS) - 1)]):
+            met = state.join(steps.hint("merge"), F.col("node") == F.col("parent")).filter(F.col("newest") | (F.col("step") == 0))
+            best = met.groupBy("child").agg(F.max("colour").alias("colour"), F.max(F.when(F.col("step") == 0, F.col("colour"))).alias("own"))
+            state = best.select(F.col("child").alias("node"), "colour", (F.col("colour") > F.col("own")).alias("newest"))
+        state, more = ws.write_and_look(state, f"{label}-{turn}", "newest")
+        ws.drop(f"{label}-{turn - 1}")
+        if not more:
+            return state.select("node", "colour")
+        turn += 1
+
+
+def _peeled(ws: Workspace, edges: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+    """The loops that one colouring finds, and the edges without them.
+
+    A frontier goes back from each node that kept its own colour, inside that colour. What it reaches, the node reaches
+    too; it is a loop if the start is met again, that is if anything but the start is met, or the start is its own child.
+    """
+    of = _coloured(ws, edges, f"{label}-colour")
+    inner = edges.join(of.toDF("parent", "pc").hint("merge"), "parent").join(of.toDF("child", "cc").hint("merge"), "child")
+    back = ws.write(inner.filter("pc = cc").select(F.col("child").alias("parent"), F.col("parent").alias("child")), f"{label}-back")
+    met = level_search(ws, back, of.filter("node = colour").select("node", F.col("colour").alias("root")), label=f"{label}-behind")
+    sizes = met.groupBy("root").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("members"))
+    selves = edges.filter("parent = child").select(F.col("parent").alias("root")).distinct().withColumn("own", F.lit(True))
+    repeated = sizes.join(selves, "root", "left").filter("members > 1 or own")
+    found = ws.write(met.join(repeated, "root").select("node", "component", "members"), f"{label}-found")
+    gone = met.select("node")
+    rest = edges.join(gone.toDF("parent").hint("merge"), "parent", "left_anti").join(gone.toDF("child").hint("merge"), "child", "left_anti").select("parent", "child")
+    return found, ws.write(rest, f"{label}-rest")
 
 
-def loop_components(ws: Workspace, edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+def loop_components(ws: Workspace, edges: DataFrame) -> DataFrame:
     """``(node, component, members)`` for each node on a loop: ``component`` is the smallest id of all nodes that it
     reaches and that reach it, ``members`` their number. A node that is its own child is a loop; others have no row.
 
-    Edges off every loop are trimmed from both ends first. What is left is finished by one task if it has at most
-    ``task_edges`` edges (a counted bound), otherwise by forward colouring and backward search, level by level.
+    Nodes that the frontiers from roots and leaves leave unreached are taken; in what they span, loops are the nodes that
+    a frontier meets again (``_peeled``). Loops that hang below others come off in further turns, so no step ever holds a
+    graph in one task, whatever the size of a loop.
     """
-    left, before, turn = edges.select("parent", "child"), -1, 0
-    done: list[DataFrame] = []
-    while True:
-        left = ws.write(trim_acyclic(left, 2), f"trim-{turn}")
-        n = left.count()
-        if n <= task_edges:
-            done.append(left.groupBy().applyInPandas(_component_rows, "node int, component int, members bigint"))
-            break
-        if n == before:
-            found, left = _peel_components(ws, left, turn)
-            done.append(found)
-            n = -1
-        before, turn = n, turn + 1
+    left, turn, done = trimmed(ws, edges, "trim"), 0, []
+    while not left.isEmpty():
+        found, rest = _peeled(ws, left, f"peel-{turn}")
+        done.append(found)
+        left, turn = trimmed(ws, rest, f"trim-{turn}"), turn + 1
+    if not done:
+        return left.select(F.col("parent").alias("node"), F.col("parent").alias("component"), F.lit(0).cast("bigint").alias("members"))
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _peel_components(ws: Workspace, edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """The loops that one colouring finds, and the edges without them."""
-    nodes = edges.select(F.col("parent").alias("node")).union(edges.select("child")).distinct()
-    colours, k = ws.write(nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("moved")), f"colour-{turn}-0"), 0
-    while True:  # each node takes the largest id that reaches it
-        sent = colours.filter("moved").join(edges, F.col("node") == F.col("parent")).groupBy(F.col("child").alias("node")).agg(F.max("colour").alias("c"))
-        k += 1
-        colours = ws.write(colours.join(sent, "node", "left").select("node", F.greatest("colour", "c").alias("colour"), F.coalesce(F.col("c") > F.col("colour"), F.lit(False)).alias("moved")), f"colour-{turn}-{k}")
-        ws.drop(f"colour-{turn}-{k - 2}")
-        if colours.filter("moved").isEmpty():
-            break
-    of = colours.select("node", "colour")
-    inner = edges.join(of.toDF("parent", "pc"), "parent").join(of.toDF("child", "cc"), "child")
-    back = ws.write(inner.filter("pc = cc").select(F.col("child").alias("parent"), F.col("parent").alias("child")), f"back-{turn}")
-    met = level_search(ws, back, of.filter("node = colour").select("node", F.col("colour").alias("root")), label=f"backward-{turn}")
-    sizes = met.groupBy("root").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("members"))
-    selves = edges.filter("parent = child").select(F.col("parent").alias("root")).distinct().withColumn("own", F.lit(True))
-    loops = sizes.join(selves, "root", "left").filter("members > 1 or own")
-    found = ws.write(met.join(loops, "root").select("node", "component", "members"), f"found-{turn}")
-    gone = ws.write(met.select("node"), f"gone-{turn}")
-    rest = edges.join(gone.toDF("parent"), "parent", "left_anti").join(gone.toDF("child"), "child", "left_anti").select("parent", "child")
-    return found, ws.write(rest, f"rest-{turn}")
+def _reached(ws: Workspace, edges: DataFrame, paths: bool) -> DataFrame:
+    return level_search(ws, edges, hierarchy_roots(edges).select("node", F.col("node").alias("root")), paths)
 
 
 def hierarchy(spark: SparkSession, links: DataFrame, paths: bool = False) -> DataFrame:
@@ -182,9 +174,14 @@ def hierarchy(spark: SparkSession, links: DataFrame, paths: bool = False) -> Dat
     """
     ws = Workspace(spark, "hierarchy")
     edges = ws.write(subcategory_edges(links), "edges")
-    reached = level_search(ws, edges, hierarchy_roots(edges).select("node", F.col("node").alias("root")), paths)
     loops = loop_components(ws, edges).select("node", F.col("component").alias("root"), F.lit(-1).alias("depth"))
-    return reached.unionByName(loops, allowMissingColumns=True).withColumnsRenamed({"node": "node_id", "root": "root_id"})
+    return _reached(ws, edges, paths).unionByName(loops, allowMissingColumns=True).withColumnsRenamed({"node": "node_id", "root": "root_id"})
+
+
+def hierarchy_paths(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """``(node_id, root_id, depth, path)``: the rows of ``hierarchy`` that have a path, without a search for loops."""
+    ws = Workspace(spark, "paths")
+    return _reached(ws, ws.write(subcategory_edges(links), "edges"), True).withColumnsRenamed({"node": "node_id", "root": "root_id"})
 
 
 def descendants(spark: SparkSession, links: DataFrame) -> DataFrame:

@@ -31,8 +31,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
-    out = H.hierarchy(spark, _links(spark, d), paths=True)
-    return out.filter("depth >= 0").select("node_id", "root_id", "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
+    out = H.hierarchy_paths(spark, _links(spark, d))
+    return out.select("node_id", "root_id", "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"))
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,6 +40,12 @@ class Workspace:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_and_look(self, df: DataFrame, label: str, flag: str) -> tuple[DataFrame, bool]:
+        """As ``write``, and whether any row has the flag; told by the job that writes."""
+        look = Observation()
+        out = self.write(df.observe(look, F.count(F.when(F.col(flag), 1)).alias("n")), label)
+        return out, look.get["n"] > 0
+
     def drop(self, label: str) -> None:
         """Delete a table that no later step reads."""
         self._delete(f"{self.path}/{label}")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from taxograph.operators import hierarchy as H
 from taxograph.operators import snapshot_diff
-from taxograph.operators.key_profile import chunk_count, heavy_keys, key_profiles
+from taxograph.operators.key_profile import chunk_layout, frequent_keys, heavy_keys, key_profiles, merge_rounds, tree_merge
 from taxograph.operators.snapshot_diff import snapshot_changes
 from taxograph.workspace import Workspace
 
@@ -20,8 +20,8 @@ def links(spark, rows):
     return spark.createDataFrame([(*r, "x", 1, 2, 3) for r in rows], LINKS)
 
 
-@pytest.mark.parametrize("chunk_rows, fan_in", [(1 << 20, 8), (7, 2), (3, 3)])
-def test_key_profiles(spark, chunk_rows, fan_in):
+@pytest.mark.parametrize("chunk_rows, fan_in, hot_share", [(1 << 20, 8, 500), (7, 2, 5), (3, 3, 2)])
+def test_key_profiles(spark, chunk_rows, fan_in, hot_share):
     rnd = random.Random(1)
     rows = [(rnd.choice([None, -3, 0, 1, 2, 3, 9, *[7] * 10]), rnd.choice([None, -3, 0, 1, 4, *[5] * 10]), "f") for _ in range(300)]
     want = {}
@@ -29,16 +29,41 @@ def test_key_profiles(spark, chunk_rows, fan_in):
         for key in {r[at] for r in rows if r[at] and r[at] > 0}:
             own = [r for r in rows if r[at] == key]
             want[side, key] = (len(own), len({r[1 - at] for r in own if r[1 - at] and r[1 - at] > 0}))
-    got = {(r["side"], r["key_id"]): (r["n_rows"], r["n_partners"]) for r in key_profiles(links(spark, rows), chunk_rows=chunk_rows, fan_in=fan_in).collect()}
+    got = {(r["side"], r["key_id"]): (r["n_rows"], r["n_partners"]) for r in key_profiles(links(spark, rows), chunk_rows=chunk_rows, fan_in=fan_in, hot_share=hot_share).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("seed, chunk_rows, share", [(0, 1 << 16, 50), (1, 20, 10), (2, 5, 4), (3, 64, 7)])
+def test_heavy_keys(spark, seed, chunk_rows, share):
+    rnd = random.Random(seed)
+    ids = [None, -3, 0, *[7] * 30, *range(1, 12), *range(20, 40)]
+    rows = [(rnd.choice(ids) if k % 200 < 150 else 11, rnd.choice(ids[: 3 + k // 20]), "f") for k in range(1000)]  # some keys lie in a few chunks, some in all
     counts = Counter(("page_id", r[1]) for r in rows) + Counter(("cl_from", r[0]) for r in rows)
-    assert {tuple(r) for r in heavy_keys(links(spark, rows)).collect()} == {k for k, n in counts.items() if k[1] and k[1] > 0 and n * 50 >= len(rows)}
+    want = {k for k, n in counts.items() if k[1] and k[1] > 0 and n * share >= len(rows)}
+    df = links(spark, rows)
+    assert {tuple(r) for r in heavy_keys(df, share=share, chunk_rows=chunk_rows, fan_in=2).collect()} == want
+    total, found = frequent_keys(df, "page_id", "cl_from", share, chunk_rows, 2)
+    names = ("page_id", "cl_from")
+    near = {(names[r["side"]], r["key_id"]) for r in found.collect()}
+    assert total == len(rows) and want <= near and all(sum(s == side for s, _ in near) <= share * 4 / 3 for side in names)
+
+
+def test_rounds_of_a_tree(spark):
+    df = links(spark, [(1, 2, "f")] * 1000).repartition(4)
+    total, each, chunks = chunk_layout(df, 16)
+    assert total == 1000 and chunks == 4 * each and each >= 16
+    assert merge_rounds(1, 4) == 0 and merge_rounds(64, 4) == 3 and merge_rounds(65, 4) == 4
+    states = spark.range(0, 100, 1, 4).selectExpr("id % 2 as k", "id as chunk", "1 as n")
+    merged = tree_merge(states, ["k"], ["n"], 100, 4)
+    assert merged._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == merge_rounds(100, 4) == 4
+    assert {tuple(r) for r in merged.collect()} == {(0, 50), (1, 50)}
 
 
 def test_key_profiles_of_nothing(spark):
     empty = links(spark, [])
     assert key_profiles(empty).collect() == [] and heavy_keys(empty).collect() == []
-    assert chunk_count(0) == 1 and chunk_count(8, 4) == 2 and chunk_count(9, 4) == 3
+    nulls = links(spark, [(None, None, "f"), (0, -1, "f")])
+    assert key_profiles(nulls).collect() == [] and heavy_keys(nulls).collect() == []
 
 
 def brute_hierarchy(edges):
@@ -75,7 +100,7 @@ def test_hierarchy(spark, seed):
     want, below = brute_hierarchy(edges)
     df = links(spark, rows)
     assert {tuple(r) for r in H.hierarchy(spark, df).collect()} == want
-    with_paths = H.hierarchy(spark, df, paths=True).filter("depth >= 0").collect()
+    with_paths = H.hierarchy_paths(spark, df).collect()
     assert {(r["node_id"], r["root_id"], r["depth"]) for r in with_paths} == {r for r in want if r[2] >= 0}
     for r in with_paths:
         assert r["path"][0] == r["root_id"] and r["path"][-1] == r["node_id"] and len(r["path"]) == r["depth"] + 1
@@ -84,9 +109,11 @@ def test_hierarchy(spark, seed):
     assert found == {(a, b, d) for a in below for b, d in below[a].items() if a != b}
     ws = Workspace(spark, "test")
     frame = ws.write(H.subcategory_edges(df), "edges")
-    one = {tuple(r) for r in H.loop_components(ws, frame).collect()}
+    one = [tuple(r) for r in H.loop_components(ws, frame).collect()]
+    assert len(one) == len({a for a, _, _ in one})
     assert {(a, b) for a, b, _ in one} == {(a, b) for a, b, d in want if d == -1}
-    assert {tuple(r) for r in H.loop_components(ws, frame, task_edges=0).collect()} == one
+    sizes = Counter(c for _, c, _ in one)
+    assert all(sizes[c] == m for _, c, m in one)
 
 
 def test_hierarchy_of_nothing_and_of_loops_only(spark):
