@@ -74,7 +74,7 @@ CHANGES = rf"""with rows as (
          row_number() over (partition by snap_no, cl_from, page_id order by delivered_at desc nulls last) as rn
   from categorylinks_snapshot where snap_no is not null and cl_from is not null and page_id is not null),
 records as (select * from rows where rn = 1),
-numbers as (select snap_no, lead(snap_no) over (order by snap_no) as next_no from (select distinct snap_no from rows)),
+numbers as (select snap_no, lead(snap_no) over (order by snap_no) as next_no from (select distinct snap_no from categorylinks_snapshot where snap_no is not null)),
 olds as (select n.next_no as snap_no, r.cl_from, r.page_id, r.kind, r.sk from records r join numbers n on n.snap_no = r.snap_no and n.next_no is not null),
 news as (select * from records where snap_no > (select min(snap_no) from numbers)),
 changes as (
