@@ -15,10 +15,10 @@ from taxograph.functions import kind_letter
 from taxograph.workspace import Workspace
 
 #: Levels joined in one job; the first jobs, with wide frontiers, take fewer.
-LEVELS = (2, 3, 6, 8)
+LEVELS = (2, 3, 6)
 #: Levels of a frontier that releases nodes, and of one that spreads colours, in one job.
-RELEASES = (4, 8, 12)
-HOPS = (2, 4, 8)
+RELEASES = (3, 6)
+HOPS = (2, 4)
 
 
 def subcategory_edges(links: DataFrame) -> DataFrame:
