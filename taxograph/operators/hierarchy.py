@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxograph.functions import kind_letter
-from taxograph.workspace import Workspace
+from taxograph.workspace import Workspace, leveled
 
 #: Levels joined in one job; the first jobs, with wide frontiers, take fewer.
 LEVELS = (2, 3, 6)
@@ -20,6 +20,23 @@ LEVELS = (2, 3, 6)
 RELEASES = (3, 6)
 HOPS = (2, 4)
 
+#: Levels as SQL. A search: rows found are carried by edges from each node to itself (step 0).
+LEVEL = """select /*+ MERGE(t) */ t.child as node, s.root, min(s.depth + t.step) as depth, bool_and(t.step = 1) as newest
+from STATE s join {steps} t on s.node = t.parent where s.newest or t.step = 0 group by t.child, s.root"""
+PATH_LEVEL = """select node, root, x.depth, newest, x.path from (
+  select /*+ MERGE(t) */ t.child as node, s.root, bool_and(t.step = 1) as newest,
+    min(struct(s.depth + t.step as depth, case when t.step = 1 then concat(s.path, array(t.child)) else s.path end as path)) as x
+  from STATE s join {steps} t on s.node = t.parent where s.newest or t.step = 0 group by t.child, s.root)"""
+UNSETTLED = "select /*+ MERGE(h) */ f.* from STATE f left anti join {settled} h on f.node = h.node and f.root = h.root"
+#: Released nodes tell their children (step 1) and parents (step 2); others wait for fewer, or go on waiting (step 0).
+RELEASE = """select node, ins, outs, ins = 0 or outs = 0 as newest from (
+  select /*+ MERGE(t) */ t.child as node, sum(case t.step when 0 then s.ins when 1 then -1 else 0 end) as ins,
+    sum(case t.step when 0 then s.outs when 2 then -1 else 0 end) as outs, min(t.step) as least
+  from STATE s join {steps} t on s.node = t.parent where s.newest <> (t.step = 0) group by t.child) where least = 0"""
+COLOUR = """select node, colour, colour > own as newest from (
+  select /*+ MERGE(t) */ t.child as node, max(s.colour) as colour, max(case when t.step = 0 then s.colour end) as own
+  from STATE s join {steps} t on s.node = t.parent where s.newest or t.step = 0 group by t.child)"""
+
 
 def subcategory_edges(links: DataFrame) -> DataFrame:
     """Distinct ``(parent, child)`` of the subcategory rows (first letter s, blanks and case aside) with ids > 0."""
@@ -53,19 +70,12 @@ def level_search(ws: Workspace, edges: DataFrame, starts: DataFrame, paths: bool
     names = [c for c in schema.names if c != "newest"]
     level = 0
     while more and (most is None or level < most):
-        met, levels = frontier, LEVELS[min(len(held) - 1, len(LEVELS) - 1)]
+        levels = LEVELS[min(len(held) - 1, len(LEVELS) - 1)]
         level += levels
-        for _ in range(levels):
-            step = met.join(steps.hint("merge"), met["node"] == steps["parent"]).filter(F.col("newest") | (F.col("step") == 0))
-            taken = [F.col("child").alias("node"), "root", (F.col("depth") + F.col("step")).alias("depth"), (F.col("step") == 1).alias("newest")]
-            if paths:
-                taken.append(F.when(F.col("step") == 1, F.concat("path", F.array("child"))).otherwise(F.col("path")).alias("path"))
-                met = step.select(*taken).groupBy("node", "root").agg(F.min(F.struct("depth", "path")).alias("x"), F.bool_and("newest").alias("newest")).select("node", "root", "x.depth", "newest", "x.path")
-            else:
-                met = step.select(*taken).groupBy("node", "root").agg(F.min("depth").alias("depth"), F.bool_and("newest").alias("newest"))
-        settled = ws.read(held, schema).select("node", "root").hint("merge")
+        settled = ws.read(held, schema)
         held.append(f"{label}-{len(held)}")
-        frontier, more = ws.write_and_look(met.join(settled, ["node", "root"], "left_anti").select(*schema.names), held[-1], "newest")
+        met = leveled(frontier, PATH_LEVEL if paths else LEVEL, levels, UNSETTLED, steps=steps, settled=settled)
+        frontier, more = ws.write_and_look(met.select(*schema.names), held[-1], "newest")
         frontier = frontier.filter("newest")
     return ws.read(held, schema).select(*names)
 
@@ -92,10 +102,7 @@ def trimmed(ws: Workspace, edges: DataFrame, label: str) -> DataFrame:
     steps = ws.write(_with_selves(edges, state).union(back), f"{label}-steps")
     turn = 0
     while more:
-        for _ in range(RELEASES[min(turn, len(RELEASES) - 1)]):
-            met = state.join(steps.hint("merge"), F.col("node") == F.col("parent")).filter(F.col("newest") != (F.col("step") == 0))
-            left = lambda step, held: F.sum(F.when(F.col("step") == 0, F.col(held)).when(F.col("step") == step, -1).otherwise(0)).alias(held)
-            state = met.groupBy("child").agg(left(1, "ins"), left(2, "outs"), F.min("step").alias("least")).filter("least = 0").select(F.col("child").alias("node"), "ins", "outs", released.alias("newest"))
+        state = leveled(state, RELEASE, RELEASES[min(turn, len(RELEASES) - 1)], steps=steps)
         turn += 1
         state, more = ws.write_and_look(state, f"{label}-state-{turn}", "newest")
         ws.drop(f"{label}-state-{turn - 1}")
@@ -110,10 +117,7 @@ def _coloured(ws: Workspace, edges: DataFrame, label: str) -> DataFrame:
     steps = ws.write(_with_selves(edges, nodes), f"{label}-steps")
     state, turn = nodes.select("node", F.col("node").alias("colour"), F.lit(True).alias("newest")), 0
     while True:
-        for _ in range(HOPS[min(turn, len(HOPS) - 1)]):
-            met = state.join(steps.hint("merge"), F.col("node") == F.col("parent")).filter(F.col("newest") | (F.col("step") == 0))
-            best = met.groupBy("child").agg(F.max("colour").alias("colour"), F.max(F.when(F.col("step") == 0, F.col("colour"))).alias("own"))
-            state = best.select(F.col("child").alias("node"), "colour", (F.col("colour") > F.col("own")).alias("newest"))
+        state = leveled(state, COLOUR, HOPS[min(turn, len(HOPS) - 1)], steps=steps)
         state, more = ws.write_and_look(state, f"{label}-{turn}", "newest")
         ws.drop(f"{label}-{turn - 1}")
         if not more:

@@ -26,6 +26,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def leveled(state: DataFrame, level: str, levels: int, last: str = "select * from STATE", **tables: DataFrame) -> DataFrame:
+    """The state after so many levels, as one query: ``level`` is SQL that reads ``STATE`` (and the named tables, in braces).
+
+    The text of all levels is analysed once, not once for each operation of each level.
+    """
+    parts = ["l0 as (select * from {first})", *(f"l{k + 1} as ({level.replace('STATE', f'l{k}')})" for k in range(levels))]
+    return state.sparkSession.sql(f"with {', '.join(parts)} {last.replace('STATE', f'l{levels}')}", first=state, **tables)
+
+
 class Workspace:
     """A folder of Parquet tables of one operator call."""
 
