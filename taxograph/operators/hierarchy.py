@@ -165,10 +165,31 @@ def loop_components(ws: Workspace, edges: DataFrame) -> DataFrame:
     return out
 
 
-def _reached(ws: Workspace, edges: DataFrame, paths: bool) -> DataFrame:
+def _reached(ws: Workspace, edges: DataFrame, paths: bool = False) -> DataFrame:
     return level_search(ws, edges, hierarchy_roots(edges).select("node", F.col("node").alias("root")), paths)
 
 
+def suspects(ws: Workspace, edges: DataFrame, reached: DataFrame) -> DataFrame:
+    """The edges that can lie on loops, by what the search from the roots met: few beside the edges of all trees.
+
+    All nodes of a loop are reached from the same roots, or from none. Round a loop the fewest steps from the roots can't
+    grow all the way, so some edge leads to a node that is repeated (met before with no more steps than its parent has) or
+    unreached. What lies below the end of such an edge and above the start of one, by edges between nodes of the same
+    roots, is returned; roots are compared by their number and a hash, which can let an edge more through but none less.
+    """
+    marks = reached.groupBy("node").agg(F.min("depth").alias("d"), F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("root"))).alias("roots"))
+    of = lambda c: marks.select(F.col("node").alias(c), F.col("d").alias(f"{c}_d"), F.col("roots").alias(f"{c}_roots")).hint("merge")
+    both = edges.join(of("parent"), "parent", "left").join(of("child"), "child", "left").filter(F.col("parent_roots").eqNullSafe(F.col("child_roots")))
+    alike = ws.write(both.select("parent", "child", (F.col("parent_d").isNull() | (F.col("parent_d") >= F.col("child_d"))).alias("repeats")), "alike")
+    nothing = F.lit(0).alias("root")
+    below = level_search(ws, alike, alike.filter("repeats").select(F.col("child").alias("node"), nothing), label="below").select(F.col("node").alias("parent"))
+    inner = ws.write(alike.join(below.hint("merge"), "parent", "left_semi"), "inner")
+    back = inner.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
+    above = level_search(ws, back, inner.filter("repeats").select(F.col("parent").alias("node"), nothing), label="above").select("node")
+    kept = inner.join(above.toDF("parent").hint("merge"), "parent", "left_semi").join(above.toDF("child").hint("merge"), "child", "left_semi")
+    return ws.write(kept.select("parent", "child"), "suspects")
+
+
 def hierarchy(spark: SparkSession, links: DataFrame, paths: bool = False) -> DataFrame:
     """``(node_id, root_id, depth[, path])`` for each category and each root that reaches it, and depth -1 for each
     category on a loop, with the smallest id of its loop as ``root_id`` (and a null path).
@@ -178,8 +199,9 @@ def hierarchy(spark: SparkSession, links: DataFrame, paths: bool = False) -> Dat
     """
     ws = Workspace(spark, "hierarchy")
     edges = ws.write(subcategory_edges(links), "edges")
-    loops = loop_components(ws, edges).select("node", F.col("component").alias("root"), F.lit(-1).alias("depth"))
-    return _reached(ws, edges, paths).unionByName(loops, allowMissingColumns=True).withColumnsRenamed({"node": "node_id", "root": "root_id"})
+    reached = _reached(ws, edges, paths)
+    loops = loop_components(ws, suspects(ws, edges, reached)).select("node", F.col("component").alias("root"), F.lit(-1).alias("depth"))
+    return reached.unionByName(loops, allowMissingColumns=True).withColumnsRenamed({"node": "node_id", "root": "root_id"})
 
 
 def hierarchy_paths(spark: SparkSession, links: DataFrame) -> DataFrame:
