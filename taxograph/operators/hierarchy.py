@@ -2,8 +2,9 @@
 
 All of it is level-wise: a frontier joins the edges, new pairs are kept, until no pair is new. Several levels form one
 job, and the pairs that a job found are written to the shared folder, so neither the lineage nor the number of jobs
-grows with every level. Frontier joins are merge joins: nothing is broadcast from the driver level by level, and a node
-with very many children or roots is split by adaptive execution, as an aggregation by another key follows each join.
+grows with every level. Joins carry no hint: Spark broadcasts a frontier only while its measured size is small (which also cuts
+the chain of stages), and otherwise a node with very many children or roots is split by adaptive execution, as an
+aggregation by another key follows each join.
 """
 
 from __future__ import annotations
@@ -21,20 +22,20 @@ RELEASES = (3, 6)
 HOPS = (2, 4)
 
 #: Levels as SQL. A search: rows found are carried by edges from each node to itself (step 0).
-LEVEL = """select /*+ MERGE(t) */ t.child as node, s.root, min(s.depth + t.step) as depth, bool_and(t.step = 1) as newest
+LEVEL = """select t.child as node, s.root, min(s.depth + t.step) as depth, bool_and(t.step = 1) as newest
 from STATE s join {steps} t on s.node = t.parent where s.newest or t.step = 0 group by t.child, s.root"""
 PATH_LEVEL = """select node, root, x.depth, newest, x.path from (
-  select /*+ MERGE(t) */ t.child as node, s.root, bool_and(t.step = 1) as newest,
+  select t.child as node, s.root, bool_and(t.step = 1) as newest,
     min(struct(s.depth + t.step as depth, case when t.step = 1 then concat(s.path, array(t.child)) else s.path end as path)) as x
   from STATE s join {steps} t on s.node = t.parent where s.newest or t.step = 0 group by t.child, s.root)"""
-UNSETTLED = "select /*+ MERGE(h) */ f.* from STATE f left anti join {settled} h on f.node = h.node and f.root = h.root"
+UNSETTLED = "select f.* from STATE f left anti join {settled} h on f.node = h.node and f.root = h.root"
 #: Released nodes tell their children (step 1) and parents (step 2); others wait for fewer, or go on waiting (step 0).
 RELEASE = """select node, ins, outs, ins = 0 or outs = 0 as newest from (
-  select /*+ MERGE(t) */ t.child as node, sum(case t.step when 0 then s.ins when 1 then -1 else 0 end) as ins,
+  select t.child as node, sum(case t.step when 0 then s.ins when 1 then -1 else 0 end) as ins,
     sum(case t.step when 0 then s.outs when 2 then -1 else 0 end) as outs, min(t.step) as least
   from STATE s join {steps} t on s.node = t.parent where s.newest <> (t.step = 0) group by t.child) where least = 0"""
 COLOUR = """select node, colour, colour > own as newest from (
-  select /*+ MERGE(t) */ t.child as node, max(s.colour) as colour, max(case when t.step = 0 then s.colour end) as own
+  select t.child as node, max(s.colour) as colour, max(case when t.step = 0 then s.colour end) as own
   from STATE s join {steps} t on s.node = t.parent where s.newest or t.step = 0 group by t.child)"""
 
 
@@ -107,7 +108,7 @@ def trimmed(ws: Workspace, edges: DataFrame, label: str) -> DataFrame:
         state, more = ws.write_and_look(state, f"{label}-state-{turn}", "newest")
         ws.drop(f"{label}-state-{turn - 1}")
     alive = state.filter(~F.col("newest")).select("node")
-    within = edges.select("parent", "child").join(alive.toDF("parent").hint("merge"), "parent", "left_semi").join(alive.toDF("child").hint("merge"), "child", "left_semi")
+    within = edges.select("parent", "child").join(alive.toDF("parent"), "parent", "left_semi").join(alive.toDF("child"), "child", "left_semi")
     return ws.write(within.select("parent", "child"), label)
 
 
@@ -132,7 +133,7 @@ def _peeled(ws: Workspace, edges: DataFrame, label: str) -> tuple[DataFrame, Dat
     too; it is a loop if the start is met again, that is if anything but the start is met, or the start is its own child.
     """
     of = _coloured(ws, edges, f"{label}-colour")
-    inner = edges.join(of.toDF("parent", "pc").hint("merge"), "parent").join(of.toDF("child", "cc").hint("merge"), "child")
+    inner = edges.join(of.toDF("parent", "pc"), "parent").join(of.toDF("child", "cc"), "child")
     back = ws.write(inner.filter("pc = cc").select(F.col("child").alias("parent"), F.col("parent").alias("child")), f"{label}-back")
     met = level_search(ws, back, of.filter("node = colour").select("node", F.col("colour").alias("root")), label=f"{label}-behind")
     sizes = met.groupBy("root").agg(F.min("node").alias("component"), F.count(F.lit(1)).alias("members"))
@@ -140,7 +141,7 @@ def _peeled(ws: Workspace, edges: DataFrame, label: str) -> tuple[DataFrame, Dat
     repeated = sizes.join(selves, "root", "left").filter("members > 1 or own")
     found = ws.write(met.join(repeated, "root").select("node", "component", "members"), f"{label}-found")
     gone = met.select("node")
-    rest = edges.join(gone.toDF("parent").hint("merge"), "parent", "left_anti").join(gone.toDF("child").hint("merge"), "child", "left_anti").select("parent", "child")
+    rest = edges.join(gone.toDF("parent"), "parent", "left_anti").join(gone.toDF("child"), "child", "left_anti").select("parent", "child")
     return found, ws.write(rest, f"{label}-rest")
 
 
@@ -178,15 +179,15 @@ def suspects(ws: Workspace, edges: DataFrame, reached: DataFrame) -> DataFrame:
     roots, is returned; roots are compared by their number and a hash, which can let an edge more through but none less.
     """
     marks = reached.groupBy("node").agg(F.min("depth").alias("d"), F.struct(F.count(F.lit(1)), F.bit_xor(F.xxhash64("root"))).alias("roots"))
-    of = lambda c: marks.select(F.col("node").alias(c), F.col("d").alias(f"{c}_d"), F.col("roots").alias(f"{c}_roots")).hint("merge")
+    of = lambda c: marks.select(F.col("node").alias(c), F.col("d").alias(f"{c}_d"), F.col("roots").alias(f"{c}_roots"))
     both = edges.join(of("parent"), "parent", "left").join(of("child"), "child", "left").filter(F.col("parent_roots").eqNullSafe(F.col("child_roots")))
     alike = ws.write(both.select("parent", "child", (F.col("parent_d").isNull() | (F.col("parent_d") >= F.col("child_d"))).alias("repeats")), "alike")
     nothing = F.lit(0).alias("root")
     below = level_search(ws, alike, alike.filter("repeats").select(F.col("child").alias("node"), nothing), label="below").select(F.col("node").alias("parent"))
-    inner = ws.write(alike.join(below.hint("merge"), "parent", "left_semi"), "inner")
+    inner = ws.write(alike.join(below, "parent", "left_semi"), "inner")
     back = inner.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
     above = level_search(ws, back, inner.filter("repeats").select(F.col("parent").alias("node"), nothing), label="above").select("node")
-    kept = inner.join(above.toDF("parent").hint("merge"), "parent", "left_semi").join(above.toDF("child").hint("merge"), "child", "left_semi")
+    kept = inner.join(above.toDF("parent"), "parent", "left_semi").join(above.toDF("child"), "child", "left_semi")
     return ws.write(kept.select("parent", "child"), "suspects")
 
 
