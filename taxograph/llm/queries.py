@@ -12,7 +12,7 @@ from taxograph.llm import distinct_sketch as S
 from taxograph.llm.leakage import decontaminate, leaks
 from taxograph.llm.overlap import overlaps
 from taxograph.llm.subjects import subjects
-from taxograph.llm.tokenizer import encode_corpus, vocabulary_path
+from taxograph.llm.tokenizer import encode_corpus, same_ids, vocabulary_path
 from taxograph.sources import table
 from taxograph.workspace import Workspace
 
@@ -70,6 +70,11 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), vocabulary_path("byte_bpe_50k"), Workspace(spark, "encode"))
 
 
+def p6_joined(spark: SparkSession, d: str) -> DataFrame:
+    """All documents in parts of 500 characters, joined in rounds between tasks, against the library's ids of whole texts."""
+    return same_ids(table(spark, d, "documents"), vocabulary_path("byte_bpe_50k"), Workspace(spark, "joined"), 500)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -97,7 +102,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_overlaps, p5_found, p5_day_category, p5_days, p5_categories, p5_unions, p6_ids, p7_found, p7_leaks, p7_clean, p8_found, p8_composition)
+    f.__name__: f for f in (p2_found, p2_overlaps, p5_found, p5_day_category, p5_days, p5_categories, p5_unions, p6_ids, p6_joined, p7_found, p7_leaks, p7_clean, p8_found, p8_composition)
 }
 
 KIND = r"nullif(lower(substr(regexp_replace(cl_type, '^\s+', ''), 1, 1)), '')"
@@ -113,6 +118,7 @@ SQL: dict[str, str] = {
     "p2_overlaps": OVERLAPS + "select * from result",
     "p5_found": """select strftime(cl_timestamp, '%Y-%m-%d') as link_day, page_id from categorylinks
 where cl_from > 0 and page_id > 0 and cl_timestamp is not null group by 1, 2 having count(*) >= 20 and count(distinct cl_from) * 2 < count(*)""",
+    "p6_joined": "select count(*) as n_documents, count(*) as n_same from documents",
     "p7_found": """with texts as (select item_id, prompt as text from eval_items union all select item_id, solution from eval_items),
 iw as (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from texts), dw as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents),
 ig as (select distinct item_id, array_to_string(w[i:i + 11], ' ') as g from (select item_id, w, unnest(generate_series(1, len(w) - 11)) as i from iw)),

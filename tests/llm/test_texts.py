@@ -19,7 +19,7 @@ BITS = ["a", "b", "the", "ing", " ", "  ", "\n", "\t", "'s", "'ll", "'", "1", "2
 def tree(codec, parts, leaf):
     while len(parts) > 1:
         parts = [codec.join(*parts[i : i + 2], leaf) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-    return parts[0].ids if parts else []
+    return parts[0] if parts else []
 
 
 @settings(max_examples=400, deadline=None)
@@ -27,7 +27,15 @@ def tree(codec, parts, leaf):
 def test_parts_join_to_the_encoding(text, size, leaf):
     text = text.encode("utf-8", "ignore").decode()
     codec = tokenizer.codec(PATH)
-    assert tree(codec, [codec.part(text[i : i + size], leaf) for i in range(0, len(text), size)], leaf) == codec.encode(text)
+    want = codec.encoding.encode_ordinary(text)
+    assert tree(codec, [codec.encode(text[i : i + size]) for i in range(0, len(text), size)], leaf) == want
+    assert codec.encode(text, size, leaf) == want
+
+
+def test_long_texts_by_halves():
+    codec, rnd = tokenizer.codec(PATH), random.Random(8)
+    for text in ("q" * 50_000, "ab " * 20_000, "\u00e9" * 9000 + " x" * 9000, "".join(rnd.choice(BITS) for _ in range(30_000)), "{}" * 20_000 + "\n" * 3000, "a1" * 9000):
+        assert codec.encode(text) == codec.encoding.encode_ordinary(text)
 
 
 def test_same_ids_as_the_other_library():
@@ -53,6 +61,8 @@ def test_encode_corpus(spark):
         assert got.dtypes == [("doc_id", "bigint"), ("ids", "array<int>")]
         assert sorted((str(r["doc_id"]), list(r["ids"])) for r in got.collect()) == want
     assert tokenizer.encode_corpus(docs.limit(0), PATH, Workspace(spark, "test")).collect() == []
+    known = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    assert tuple(tokenizer.same_ids(known, PATH, Workspace(spark, "test"), 7).first()) == (9, 9)
 
 
 ITEM = "item_id int, prompt string, solution string, doc_id int"
