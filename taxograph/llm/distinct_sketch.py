@@ -21,6 +21,8 @@ BITS = 1024
 #: A slice with more bits set than this is saturated (its load is about 2).
 FULL = int(BITS * (1 - math.exp(-2)))
 STANDARD_ERROR = 0.03
+#: Standard errors within which an estimate does not decide.
+BAND = 6
 
 
 def marks(identifier: Column) -> tuple[Column, Column, Column]:
@@ -68,14 +70,24 @@ def estimates(state: DataFrame, keys: list[str], least_rows: int = 0) -> DataFra
     return based.select(*keys, "n_rows", F.round(total * F.pow(F.lit(2.0), F.col("base"))).alias("n_distinct"))
 
 
+def judged_groups(rows: DataFrame, keys: list[str], identifier: str, least_rows: int) -> DataFrame:
+    """``(*keys, n_rows, n_distinct, sure)`` of the groups with at least ``least_rows`` rows that have fewer than half as many
+    distinct identifiers by the estimate (``sure``), or may have (within ``BAND`` standard errors and three identifiers)."""
+    guess = estimates(states(rows, keys, identifier), keys, least_rows)
+    low, high = F.col("n_distinct") * (1 - BAND * STANDARD_ERROR) - 3, F.col("n_distinct") * (1 + BAND * STANDARD_ERROR) + 3
+    return guess.filter(low * 2 < F.col("n_rows")).withColumn("sure", high * 2 < F.col("n_rows"))
+
+
 def repeated_groups(rows: DataFrame, keys: list[str], identifier: str, least_rows: int, workspace) -> DataFrame:
     """``(*keys)`` of groups with at least ``least_rows`` rows and fewer than half as many distinct identifiers.
 
-    The estimate selects every group that could qualify within six standard errors; those groups alone are then counted
-    exactly, from rows read a second time. Null keys form no group.
+    The estimates decide. Only groups too near to one half for the error bound are counted exactly, from rows read a
+    second time. Null keys form no group.
     """
     present = rows.select(*keys, identifier).dropna(subset=keys)
-    guess = estimates(states(present, keys, identifier), keys, least_rows)
-    likely = workspace.write(guess.filter(F.col("n_distinct") * (1 - 6 * STANDARD_ERROR) < F.col("n_rows") / 2 + 3).select(*keys), "likely")
-    exact = present.join(likely, keys, "left_semi").groupBy(*keys, identifier).agg(F.count(F.lit(1)).alias("n"))
-    return exact.groupBy(*keys).agg(F.sum("n").alias("n"), F.count(identifier).alias("u")).filter((F.col("n") >= least_rows) & (F.col("u") * 2 < F.col("n"))).select(*keys)
+    judged = workspace.write(judged_groups(present, keys, identifier, least_rows), "judged")
+    sure, near = judged.filter("sure").select(*keys), judged.filter("not sure").select(*keys)
+    if near.isEmpty():
+        return sure
+    exact = present.join(near, keys, "left_semi").groupBy(*keys, identifier).agg(F.count(F.lit(1)).alias("n"))
+    return sure.union(exact.groupBy(*keys).agg(F.sum("n").alias("n"), F.count(identifier).alias("u")).filter((F.col("n") >= least_rows) & (F.col("u") * 2 < F.col("n"))).select(*keys))

@@ -17,23 +17,25 @@ from taxograph.sources import table
 from taxograph.workspace import Workspace
 
 
-def _files(spark: SparkSession, d: str) -> DataFrame:
-    """(id, set_id): the files and categories of the file rows."""
-    links = table(spark, d, "categorylinks").filter((F.col("cl_from") > 0) & (F.col("page_id") > 0) & (kind_letter(F.col("cl_type")) == "f"))
-    return links.select(F.col("cl_from").alias("id"), F.col("page_id").alias("set_id"))
+#: The files and categories of the file rows, and the pairs of the request log.
+FILES = r"""select cl_from as id, page_id as set_id from {links} where cl_from > 0 and page_id > 0 and lower(substr(regexp_replace(cl_type, r'^\s+', ''), 1, 1)) = 'f'"""
+ASKED = "select c1 as a, c2 as b from {requests}"
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "workitem").select(F.col("c1").alias("a"), F.col("c2").alias("b"))
+    return spark.sql(ASKED, requests=table(spark, d, "workitem"))
+
+
+def _overlaps(spark: SparkSession, d: str, min_size: int = 0) -> DataFrame:
+    return overlaps(spark, spark.sql(FILES, links=table(spark, d, "categorylinks")), _asked(spark, d), min_size)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    found = overlaps(spark, _files(spark, d), _asked(spark, d), min_size=50)
-    return found.filter(F.col("shared") * 10 >= 3 * F.least("n_low", "n_high")).select("c_low", "c_high")
+    return spark.sql("select c_low, c_high from {found} where shared * 10 >= 3 * least(n_low, n_high)", found=_overlaps(spark, d, 50))
 
 
 def p2_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    return overlaps(spark, _files(spark, d), _asked(spark, d))
+    return _overlaps(spark, d)
 
 
 def _dated(spark: SparkSession, d: str) -> DataFrame:
