@@ -6,12 +6,17 @@ the items that hold the last ``min_words`` words are the items leaked there.
 
 A word that no item has, and a pair of neighbours that no item has, reset the automaton to length 1 at most. Both are found
 for a whole batch at once with arrays, so the automaton itself only walks stretches that can reach the limit.
+
+The automaton of a block of items is built once, on the driver, and broadcast as flat arrays; the size of a block is a parameter,
+so what is broadcast is bounded. A worker reads it once, whatever the number of its tasks and batches.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import cached_property
 from itertools import repeat
 
 from pyspark.sql import DataFrame
@@ -20,6 +25,8 @@ from pyspark.sql import functions as F
 MIN_WORDS = 12
 #: Words of items in one automaton. More items are taken in several turns over the documents.
 BLOCK_WORDS = 1 << 20
+#: Texts whose words a task holds at a time.
+TEXTS_PER_BATCH = 256
 #: Above this share of leaked words a document is dropped whole.
 MAX_COVERAGE = 0.5
 WORD = re.compile("[a-z0-9]+")
@@ -34,40 +41,52 @@ class Automaton:
     """Generalised suffix automaton of ``(item, words)`` lists; items are told apart from ``min_words`` words on."""
 
     def __init__(self, texts: list[tuple[int, list[str]]], min_words: int):
-        import numpy as np
-
         self.min_words = min_words
         self.ids: dict[str, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        holders: list[set[int]] = [set()]
-        pairs: set[tuple[int, int]] = set()
-        for item, words in texts:
-            state, coded = 0, [self.ids.setdefault(w, len(self.ids)) for w in words]
-            pairs.update(zip(coded, coded[1:], strict=False))
+        self.coded = [(item, [self.ids.setdefault(w, len(self.ids)) for w in words]) for item, words in texts]
+        for _, coded in self.coded:
+            state = 0
             for w in coded:
-                state = self._extend(state, w, holders)
-                holders[state].add(item)
-        for v in sorted(range(1, len(self.link)), key=self.length.__getitem__, reverse=True):  # an item that holds a passage holds its ends
-            if self.link[v] > 0:
-                holders[self.link[v]] |= holders[v]
-        self.held: list[tuple[int, ...]] = [()] * len(self.link)  # of a passage that is long enough: the items with its last min_words words
-        for v in sorted(range(1, len(self.link)), key=self.length.__getitem__):
-            if self.length[v] >= min_words:
-                self.held[v] = self.held[self.link[v]] or tuple(sorted(holders[v]))
-        self.size = max(1, len(self.ids))
-        self.pairs = np.array(sorted(a * self.size + b for a, b in pairs), dtype="int64")
+                state = self._extend(state, w)
+
+    def matcher(self) -> Matcher:
+        """The automaton as arrays. Of every state with passages long enough, ``top`` is the state of their last ``min_words`` words."""
+        import numpy as np
 
-    def _state(self, length: int, holders: list[set[int]]) -> int:
+        top = [0] * len(self.link)
+        for v in sorted(range(1, len(self.link)), key=self.length.__getitem__):
+            if self.length[v] >= self.min_words:
+                top[v] = top[self.link[v]] or v
+        holders: dict[int, set[int]] = {}
+        pairs: set[int] = set()
+        size = max(1, len(self.ids))
+        for item, coded in self.coded:
+            state = 0
+            for n, w in enumerate(coded, 1):
+                state = self.next[state][w]
+                if n >= self.min_words:
+                    holders.setdefault(top[state], set()).add(item)
+            pairs.update(a * size + b for a, b in zip(coded, coded[1:], strict=False))
+        starts = np.cumsum([0, *map(len, self.next)])
+        arrows = [x for out in self.next for x in sorted(out.items())]
+        flat = np.array(arrows, dtype="int32").reshape(-1, 2)
+        held = sorted((v, tuple(sorted(x))) for v, x in holders.items())
+        return Matcher(
+            self.min_words, "\n".join(self.ids), starts.astype("int64"), flat[:, 0].copy(), flat[:, 1].copy(), np.array(self.link, "int32"), np.array(self.length, "int32"), np.array(top, "int32"),
+            np.array([v for v, _ in held], "int32"), np.cumsum([0, *(len(x) for _, x in held)]).astype("int64"), np.array([i for _, x in held for i in x], "int32"), np.array(sorted(pairs), dtype="int64"),
+        )
+
+    def _state(self, length: int) -> int:
         self.next.append({})
         self.link.append(0)
         self.length.append(length)
-        holders.append(set())
         return len(self.next) - 1
 
-    def _copy(self, p: int, q: int, w: int, holders: list[set[int]]) -> int:
+    def _copy(self, p: int, q: int, w: int) -> int:
         """Split the passages of q that are at most one word longer than p's into a state of their own."""
-        c = self._state(self.length[p] + 1, holders)
+        c = self._state(self.length[p] + 1)
         self.next[c], self.link[c] = dict(self.next[q]), self.link[q]
         while p >= 0 and self.next[p].get(w) == q:
             self.next[p][w] = c
@@ -75,36 +94,77 @@ class Automaton:
         self.link[q] = c
         return c
 
-    def _extend(self, last: int, w: int, holders: list[set[int]]) -> int:
+    def _extend(self, last: int, w: int) -> int:
         known = self.next[last].get(w)
         if known is not None:
-            return known if self.length[known] == self.length[last] + 1 else self._copy(last, known, w, holders)
-        new, p = self._state(self.length[last] + 1, holders), last
+            return known if self.length[known] == self.length[last] + 1 else self._copy(last, known, w)
+        new, p = self._state(self.length[last] + 1), last
         while p >= 0 and w not in self.next[p]:
             self.next[p][w] = new
             p = self.link[p]
         if p >= 0:
             q = self.next[p][w]
-            self.link[new] = q if self.length[q] == self.length[p] + 1 else self._copy(p, q, w, holders)
+            self.link[new] = q if self.length[q] == self.length[p] + 1 else self._copy(p, q, w)
         return new
 
-    def walk(self, coded: list[int]) -> Iterator[tuple[int, tuple[int, ...]]]:
+
+@dataclass
+class Matcher:
+    """An automaton as arrays, to be sent to workers; arrows of a state become a dictionary when it is first met."""
+
+    min_words: int
+    words: str
+    starts: object
+    symbols: object
+    targets: object
+    link: object
+    length: object
+    top: object
+    held_states: object
+    held_starts: object
+    held_items: object
+    pairs: object
+
+    @cached_property
+    def ids(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.words.split("\n"))} if self.words else {}
+
+    @cached_property
+    def size(self) -> int:
+        return max(1, len(self.ids))
+
+    @cached_property
+    def met(self) -> dict[int, dict[int, int]]:
+        return {}
+
+    def arrows(self, state: int) -> dict[int, int]:
+        out = self.met.get(state)
+        if out is None:
+            a, b = self.starts[state], self.starts[state + 1]
+            out = self.met[state] = dict(zip(self.symbols[a:b].tolist(), self.targets[a:b].tolist(), strict=True))
+        return out
+
+    def items(self, state: int) -> list[int]:
+        """The items with the last ``min_words`` words of the passages of a state."""
+        import numpy as np
+
+        at = int(np.searchsorted(self.held_states, self.top[state]))
+        return self.held_items[self.held_starts[at] : self.held_starts[at + 1]].tolist()
+
+    def walk(self, coded: list[int]) -> Iterator[tuple[int, list[int]]]:
         """(position, items) of each word at which a long enough passage ends."""
         state, length = 0, 0
         for i, w in enumerate(coded):
-            while state and w not in self.next[state]:
-                state = self.link[state]
-                length = self.length[state]
-            if w in self.next[state]:
-                state = self.next[state][w]
+            arrows = self.arrows(state)
+            while state and w not in arrows:
+                state = int(self.link[state])
+                length = int(self.length[state])
+                arrows = self.arrows(state)
+            if w in arrows:
+                state = arrows[w]
                 length += 1
             if length >= self.min_words:
-                yield i, self._items(state)
-
-    def _items(self, state: int) -> tuple[int, ...]:
-        while self.length[state] < self.min_words:  # cannot happen: the passage is at least so long
-            state = self.link[state]
-        return self.held[state]
+                yield i, self.items(state)
 
     def spans(self, texts: list[list[str]]) -> dict[int, dict[int, list[list[int]]]]:
         """Of each text (by index) and item: the spans [first word, last word] that passages of the item cover."""
@@ -159,27 +219,32 @@ def word_places(text: str) -> list[tuple[int, int]]:
     return [(of[m.start()], of[m.end() - 1] + 1) for m in WORD.finditer(low)]
 
 
-def _leaks(texts: list, min_words: int, batches: Iterator) -> Iterator:
+def _slices(batches: Iterator) -> Iterator:
+    for batch in batches:
+        for at in range(0, batch.num_rows, TEXTS_PER_BATCH):
+            yield batch.slice(at, TEXTS_PER_BATCH)
+
+
+def _leaks(matcher: Matcher, batches: Iterator) -> Iterator:
     import pyarrow as pa
 
-    automaton = Automaton(texts, min_words)
     names = ["doc_id", "item_id", "doc_words", "longest", "covered"]
-    for batch in batches:
+    for batch in _slices(batches):
         docs = batch.column("doc_id").to_pylist()
         split = [words_of(x) if x else [] for x in batch.column("text").to_pylist()]
-        rows = [(docs[d], item, len(split[d]), max(b - a + 1 for a, b in s), sum(b - a + 1 for a, b in covered(s))) for d, of in automaton.spans(split).items() for item, s in of.items()]
+        rows = [(docs[d], item, len(split[d]), max(b - a + 1 for a, b in s), sum(b - a + 1 for a, b in covered(s))) for d, of in matcher.spans(split).items() for item, s in of.items()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()), strict=True)], names)
 
 
-def _spans(texts: list, min_words: int, batches: Iterator) -> Iterator:
+def _without(matcher: Matcher, batches: Iterator) -> Iterator:
+    """Record batches (doc_id, text, removed_words, share) with the block's passages removed and both figures brought up to date."""
     import pyarrow as pa
 
-    automaton = Automaton(texts, min_words)
-    for batch in batches:
+    for batch in _slices(batches):
         docs, raw = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
         split = [words_of(x) if x else [] for x in raw]
-        found = automaton.spans(split)
-        out, removed, share = [], [], []
+        found = matcher.spans(split)
+        out, removed, share = [], batch.column("removed_words").to_pylist(), batch.column("share").to_pylist()
         for d, text in enumerate(raw):
             spans = covered([s for of in found.get(d, {}).values() for s in of])
             n = sum(b - a + 1 for a, b in spans)
@@ -190,8 +255,8 @@ def _spans(texts: list, min_words: int, batches: Iterator) -> Iterator:
                     at = places[b][1]
                 text = "".join([*kept, text[at:]])
             out.append(text)
-            removed.append(n)
-            share.append(n / len(split[d]) if split[d] else 0.0)
+            removed[d] += n
+            share[d] = max(share[d], n / len(split[d]) if split[d] else 0.0)
         yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(out, pa.string()), pa.array(removed, pa.int32()), pa.array(share, pa.float64())], ["doc_id", "text", "removed_words", "share"])
 
 
@@ -222,7 +287,8 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, bl
     schema = "doc_id bigint, item_id int, doc_words int, longest int, covered int"
     out = documents.sparkSession.createDataFrame([], schema)
     for texts in item_blocks(items, min_words, block_words):
-        out = out.unionByName(rows.mapInArrow(lambda batches, t=texts: _leaks(t, min_words, batches), schema))
+        shared = documents.sparkSession.sparkContext.broadcast(Automaton(texts, min_words).matcher())  # bounded by block_words
+        out = out.unionByName(rows.mapInArrow(lambda batches, s=shared: _leaks(s.value, batches), schema))
     return out.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("doc_words", "longest", "covered")))
 
 
@@ -234,14 +300,6 @@ def decontaminate(documents: DataFrame, items: DataFrame, min_words: int = MIN_W
     """
     out = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).alias("removed_words"), F.lit(0.0).alias("share"))
     for texts in item_blocks(items, min_words, block_words):
-        schema = "doc_id bigint, text string, removed_words int, share double, before int, before_share double"
-
-        def run(batches: Iterator, t=texts) -> Iterator:
-            import pyarrow as pa
-
-            for batch in batches:
-                (new,) = _spans(t, min_words, iter([batch]))
-                yield pa.RecordBatch.from_arrays([*new.columns, batch.column("removed_words"), batch.column("share")], [*new.schema.names, "before", "before_share"])
-
-        out = out.mapInArrow(run, schema).select("doc_id", "text", (F.col("removed_words") + F.col("before")).alias("removed_words"), F.greatest("share", "before_share").alias("share"))
+        shared = documents.sparkSession.sparkContext.broadcast(Automaton(texts, min_words).matcher())  # bounded by block_words
+        out = out.mapInArrow(lambda batches, s=shared: _without(s.value, batches), "doc_id bigint, text string, removed_words int, share double")
     return out.select("doc_id", F.when(F.col("share") <= max_coverage, F.col("text")).alias("text"), "removed_words")

@@ -121,6 +121,14 @@ SQL: dict[str, str] = {
     "p5_found": """select strftime(cl_timestamp, '%Y-%m-%d') as link_day, page_id from categorylinks
 where cl_from > 0 and page_id > 0 and cl_timestamp is not null group by 1, 2 having count(*) >= 20 and count(distinct cl_from) * 2 < count(*)""",
     "p6_joined": "select count(*) as n_documents, count(*) as n_same from documents",
+    "p7_leaks": """with texts as (select item_id, prompt as text from eval_items union all select item_id, solution from eval_items),
+iw as (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from texts), dw as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents),
+ig as (select distinct item_id, array_to_string(w[i:i + 11], ' ') as g from (select item_id, w, unnest(generate_series(1, len(w) - 11)) as i from iw)),
+dg as (select doc_id, len(w) as n, i, array_to_string(w[i:i + 11], ' ') as g from (select doc_id, w, unnest(generate_series(1, len(w) - 11)) as i from dw)),
+hits as (select distinct doc_id, item_id, n, i from dg join ig using (g)),
+runs as (select *, i - row_number() over (partition by doc_id, item_id order by i) as island, lead(i) over (partition by doc_id, item_id order by i) - i as gap from hits),
+islands as (select doc_id, item_id, n, count(*) + 11 as longest, sum(coalesce(least(gap, 12), 12)) as covered from runs group by doc_id, item_id, n, island)
+select doc_id, item_id, cast(n as int) as doc_words, cast(max(longest) as int) as longest, cast(sum(covered) as int) as covered from islands group by doc_id, item_id, n""",
     "p7_found": """with texts as (select item_id, prompt as text from eval_items union all select item_id, solution from eval_items),
 iw as (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from texts), dw as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents),
 ig as (select distinct item_id, array_to_string(w[i:i + 11], ' ') as g from (select item_id, w, unnest(generate_series(1, len(w) - 11)) as i from iw)),
