@@ -15,15 +15,14 @@ SPREAD = 32
 
 PAIRS = """select c_low, c_high from (select cast(least(a, b) as int) as c_low, cast(greatest(a, b) as int) as c_high from {asked} where a > 0 and b > 0 and a <> b)
 group by c_low, c_high"""
-#: The asked-for sets that hold an id, sorted; equal lists are counted.
-SIGNATURES = """select signature, count(*) as weight from (
-  select l.id, array_sort(collect_set(l.set_id)) as signature from (select id, set_id, pmod(xxhash64(id), SPREAD) as part from {links} where id is not null) l
+#: The asked-for sets that hold an id, sorted; equal lists are counted, and named by two hashes. (Rows repeated ``SPREAD`` times are never broadcast.)
+SIGNATURES = """select signature, xxhash64(signature) as s1, xxhash64(reverse(signature), size(signature)) as s2, count(*) as weight from (
+  select /*+ SHUFFLE_HASH(w) */ l.id, array_sort(collect_set(l.set_id)) as signature from (select id, set_id, pmod(xxhash64(id), SPREAD) as part from {links} where id is not null) l
   left semi join (select set_id, part from (select c_low as set_id from {pairs} union select c_high from {pairs}) lateral view explode(sequence(0, SPREAD - 1)) as part) w
   on l.set_id = w.set_id and l.part = w.part group by l.id)
 group by signature"""
-#: A row for each set of each signature; two hashes name the signature.
-SETS = """select xxhash64(signature) as s1, xxhash64(reverse(signature), size(signature)) as s2, weight, size(signature) as width, set_id
-from {signatures} lateral view explode(signature) as set_id"""
+#: A row for each set of each signature.
+SETS = """select s1, s2, weight, width, set_id from (select *, size(signature) as width from {signatures}) lateral view explode(signature) as set_id"""
 SIZES = "select set_id, sum(weight) as n from {sets} group by set_id"
 LARGE = """select p.c_low, p.c_high, coalesce(a.n, 0) as n_low, coalesce(b.n, 0) as n_high from {pairs} p
 left join {sizes} a on a.set_id = p.c_low left join {sizes} b on b.set_id = p.c_high where least(coalesce(a.n, 0), coalesce(b.n, 0)) >= LEAST_SIZE"""
@@ -33,7 +32,7 @@ join {degrees} d on d.set_id = p.c_low join {degrees} e on e.set_id = p.c_high l
 DEGREES = "select set_id, count(*) as n from (select c_low as set_id from {pairs} union all select c_high from {pairs}) group by set_id"
 #: A signature expands into the asked-for pairs of its sets; those whose other side it holds too are pairs of its members.
 EXPANDED = """select x.set_id, x.other, sum(x.weight) as shared from (
-  select s.s1, s.s2, s.weight, s.set_id, p.other from (select *, cast(pmod(s1, SPREAD) as int) as part from {sets} where width > 1) s
+  select /*+ SHUFFLE_HASH(p) */ s.s1, s.s2, s.weight, s.set_id, p.other from (select *, cast(pmod(s1, SPREAD) as int) as part from {sets} where width > 1) s
   join {pointers} p on p.set_id = s.set_id and p.part = s.part) x
 left semi join {sets} y on y.s1 = x.s1 and y.s2 = x.s2 and y.set_id = x.other group by x.set_id, x.other"""
 OVERLAPS = """select p.c_low, p.c_high, p.n_low, p.n_high, coalesce(s.shared, 0) as shared from {pairs} p
