@@ -5,6 +5,7 @@ Requests are answered together: equal searches run once, and equal combinations
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -73,11 +74,12 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("i", (F.row_number().over(w.orderBy(*ORDER)) - 1).cast("bigint")).withColumn("num", F.count(F.lit(1)).over(w))
 
 
-def answer(graph: CategoryGraph, requests: DataFrame, tags: DataFrame, frontier_rows: bool = True, workspace: Workspace | None = None) -> Answers:
+def answer(graph: CategoryGraph, requests: DataFrame, tags: DataFrame, frontier_rows: bool = True, workspace: Workspace | None = None, progress: Callable[[int, int], None] | None = None) -> Answers:
     """Answer all requests ``(req_id, a, c1, c2, d1, d2, o, s)``; ``tags`` as of ``good_tags``. Nulls take the defaults.
 
     A page has the rows from o + 1 to o + s. For and, not and fqv a page of size 0 still ends only after a row, and the
     total is the number of rows after the offset if the scan came to its end, else an estimate from how far it came.
+    ``progress``, for a single request, is called with the sizes of both listings as soon as they are known.
     """
     ws = workspace or Workspace(graph.spark, "answers")
     checked = ws.write(validated(graph, defaults(requests)), "requests")
@@ -90,6 +92,10 @@ def answer(graph: CategoryGraph, requests: DataFrame, tags: DataFrame, frontier_
     rows, seen = listing(ws, graph, starts, frontier_rows)
     numbered = ws.write(_numbered(rows).join(tagged, "id", "left"), "numbered")
     seen = ws.write(seen, "seen")
+    if progress:
+        sizes = {(r["root"], r["bound"]): r["num"] for r in numbered.filter("i = 0").select("root", "bound", "num").collect()}  # a row for each listing of the request
+        for r in combos.limit(1).collect():
+            progress(sizes.get((r["c1"], r["d1"]), 0), sizes.get((r["c2"], r["d2"]), 0))
     one = numbered.withColumnsRenamed({"root": "c1", "bound": "d1"})
     two = seen.select(F.col("root").alias("c2"), F.col("bound").alias("d2"), "id", "depth2")
     some = rows.select(F.col("root").alias("c2"), F.col("bound").alias("d2")).distinct().withColumn("some2", F.lit(True))

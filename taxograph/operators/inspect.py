@@ -8,6 +8,7 @@ most ``VISIT_EDGES`` edges, a counted bound, and refuses larger ones.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,20 +69,21 @@ def diamonds(graph: CategoryGraph) -> DataFrame:
 def walk_counts(graph: CategoryGraph, levels: int = WALK_LEVELS) -> DataFrame:
     """``(d, mean, most)`` for d = 0..levels: walks of d steps down from a category, mean (fraction dropped) and maximum.
 
-    Counts are DECIMAL(38, 0), and null beyond it. Levels at which no category has a walk have 0 and 0.
+    Counts are DECIMAL(38, 0) on the way and BIGINT in the result; a figure beyond either is null. Levels at which no category has
+    a walk have 0 and 0.
     """
     ws = Workspace(graph.spark, "walks")
     edges = ws.write(graph.subcats.groupBy("parent", "child").agg(F.count(F.lit(1)).cast("decimal(38,0)").alias("times")), "edges")
     n = graph.categories.count()
     now = ws.write(graph.categories.select("cat", F.lit(1).cast("decimal(38,0)").alias("walks")), "level-0")
-    out = now.agg(F.lit(0).alias("d"), F.sum("walks").alias("total"), F.max("walks").alias("most"))
+    out = now.agg(F.lit(0).alias("d"), F.coalesce(F.sum("walks"), F.lit(0)).cast("decimal(38,0)").alias("total"), F.coalesce(F.max("walks"), F.lit(0)).cast("decimal(38,0)").alias("most"))
     for d in range(1, levels + 1):
         now = now.join(edges, F.col("cat") == F.col("child")).groupBy("parent").agg(F.try_sum(F.try_multiply("walks", "times").cast("decimal(38,0)")).alias("walks")).select(F.col("parent").alias("cat"), "walks")
         if d % 3 == 0:
             now = ws.write(now, f"level-{d}")
-        out = out.union(now.agg(F.lit(d), F.try_sum("walks"), F.max("walks")))
-    zero = F.lit(0).cast("decimal(38,0)")
-    return out.select("d", F.floor(F.coalesce("total", zero) / F.lit(max(n, 1))).cast("bigint").alias("mean"), F.coalesce("most", zero).cast("bigint").alias("most"))
+        out = out.union(now.agg(F.lit(d), F.when(F.count(F.lit(1)) == F.count("walks"), F.coalesce(F.try_sum("walks"), F.when(F.count(F.lit(1)) == 0, 0))), F.when(F.count(F.lit(1)) == F.count("walks"), F.coalesce(F.max("walks"), F.lit(0)))))
+    divisor = max(n, 1)
+    return out.select("d", F.when(F.col("total") < F.lit(Decimal(divisor << 63)), F.floor(F.col("total") / F.lit(divisor))).try_cast("bigint").alias("mean"), F.col("most").try_cast("bigint").alias("most"))
 
 
 def strong_components(graph: CategoryGraph) -> DataFrame:

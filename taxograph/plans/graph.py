@@ -249,7 +249,7 @@ left join (select parent, count(*) as n from fls group by 1) f on f.parent = cat
 found as (select f.a as node, least(f.a, min(f.b)) as component, count(distinct f.b) as members from reach f join reach g on f.a = g.b and f.b = g.a group by f.a) select component, node, members from found where members > 1""",
     "walk_counts": f"""with recursive {ROWS}, edges as (select parent, child, count(*) as times from subs group by 1, 2), n as (select count(*) as n from cats),
 w(cat, d, walks) as (select cat, 0, 1::hugeint from cats union all select e.parent, max(w.d) + 1, sum(w.walks * e.times)::hugeint from w join edges e on e.child = w.cat where w.d < 30 group by e.parent)
-select ds.d, cast(coalesce(sum(walks), 0) // (select n from n) as bigint) as mean, cast(coalesce(max(walks), 0) as bigint) as most from (select unnest(generate_series(0, 30)) as d) ds left join w on w.d = ds.d group by ds.d""",
+select ds.d, try_cast(coalesce(sum(walks), 0) // (select n from n) as bigint) as mean, try_cast(coalesce(max(walks), 0) as bigint) as most from (select unnest(generate_series(0, 30)) as d) ds left join w on w.d = ds.d group by ds.d""",
     "union_counts": f"""with recursive {ROWS}, roots as (select c1 as root from workitem where c1 in (select cat from blocks) union select c2 from workitem where c2 in (select cat from blocks)), edges as (select distinct parent, child from subs),
 walk(node, root) as (select root, root from roots union select e.child, w.root from walk w join edges e on e.parent = w.node)
 select r.root, count(distinct f.parent) as categories, count(distinct f.file) as files from roots r join walk w on w.root = r.root left join fls f on f.parent = w.node group by r.root""",

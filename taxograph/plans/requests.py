@@ -56,6 +56,7 @@ class QueryRequest:
     s: int = 100
     transport: Transport = Transport.XHR
     status: Status = Status.WAITING
+    sizes: tuple[int, int] = (0, 0)
 
     @classmethod
     def from_params(cls, params: Mapping[str, str], req_id: int = 0, socket: bool = False) -> QueryRequest:

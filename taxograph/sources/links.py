@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CATEGORY_NAMESPACE = 14
@@ -19,7 +19,10 @@ def read_dump(spark: SparkSession, path: str, fail: bool = True) -> DataFrame:
     out with ``fail=False``.
     """
     form = r"^\s*(-?\d+)\s+(-?\d+)\s+(\S+)"
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("seq")).filter("trim(value) <> ''")
+    read = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    splits = read.select("file", "start").distinct().withColumn("split", F.row_number().over(Window.orderBy("file", "start")).cast("bigint"))  # a row for each split
+    seq = F.shiftleft("split", 33) + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    lines = read.filter("trim(value) <> ''").join(splits, ["file", "start"]).select("value", seq.alias("seq"))
     good = F.col("value").rlike(form)
     part = lambda k: F.regexp_extract("value", form, k)
     rows = lines.select(F.when(good, part(1)).cast("int").alias("child"), F.when(good, part(2)).cast("int").alias("parent"), F.when(good, part(3)).otherwise(F.raise_error(F.concat(F.lit("malformed line: "), "value")) if fail else F.lit(None)).alias("type"), "seq")
@@ -42,6 +45,13 @@ def titled_links(page: DataFrame, links: DataFrame, kinds: tuple[str, ...] = ("s
     return named.join(cats, "title").select("child", "parent", "type")
 
 
+def extracted(page: DataFrame, links: DataFrame, start: int = 0, end: int | None = None, kinds: tuple[str, ...] = ("subcat", "file")) -> DataFrame:
+    """``(child, parent, type, seq)`` of ``titled_links`` below the categories with a page id in [start, end), in order of
+    parent and child: what ``build_graph`` takes. The window is a filter on the page id, which a database source takes over."""
+    within = page.filter(F.col("page_id") >= start) if end is None else page.filter((F.col("page_id") >= start) & (F.col("page_id") < end))
+    return titled_links(within, links, kinds).orderBy("parent", "child", "type").withColumn("seq", F.monotonically_increasing_id())
+
+
 def largest_page_id(page: DataFrame) -> DataFrame:
     """``(max_page_id)``, 0 for an empty table."""
     return page.agg(F.coalesce(F.max("page_id"), F.lit(0)).alias("max_page_id"))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 
 from pyspark.sql import SparkSession
 
-from taxograph.operators.graph import CategoryGraph
+from taxograph.operators.graph import CategoryGraph, check_graph
 
 TABLES = ("subcats", "files", "categories")
 
@@ -26,6 +27,18 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def _replace(spark: SparkSession, path: str, text: str) -> None:
+    """Write a file beside the target and rename it over it: readers see the old text or the new one."""
+    jvm = spark.sparkContext._jvm
+    fresh = f"{path}.{uuid.uuid4().hex}"
+    _put(spark, fresh, text)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.org.apache.hadoop.fs.Path(path).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    files.rename(jvm.org.apache.hadoop.fs.Path(fresh), jvm.org.apache.hadoop.fs.Path(path), options)
+
+
 def _get(spark: SparkSession, path: str) -> str | None:
     fs, target = _fs(spark, path)
     if not fs.exists(target):
@@ -33,9 +46,14 @@ def _get(spark: SparkSession, path: str) -> str | None:
     return spark.sparkContext.wholeTextFiles(path).first()[1]
 
 
-def write_snapshot(graph: CategoryGraph, folder: str, buckets: int | None = None) -> str:
-    """Write a version and make it the current one; its name. Edge tables are clustered and sorted by parent."""
+def write_snapshot(graph: CategoryGraph, folder: str, buckets: int | None = None, check: bool = True) -> str:
+    """Write a version and make it the current one; its name. Edge tables are clustered and sorted by parent.
+
+    An unsound graph (a file that is a category) is refused before anything is written, unless ``check`` is false.
+    """
     spark = graph.spark
+    if check:
+        check_graph(graph)
     version = f"v{time.time_ns():020d}"
     for name in TABLES:
         df = getattr(graph, name)
@@ -52,7 +70,7 @@ def publish(spark: SparkSession, folder: str, version: str) -> None:
     """Point readers to a complete version; one without its meta file is refused."""
     if _get(spark, f"{folder}/{version}/meta.json") is None:
         raise ValueError(f"{version} is not complete")
-    _put(spark, f"{folder}/current.json", json.dumps({"version": version}))
+    _replace(spark, f"{folder}/current.json", json.dumps({"version": version}))
 
 
 def current_version(spark: SparkSession, folder: str) -> str | None:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from taxograph.plans.engine import Engine
+from taxograph.workspace import Workspace
 
 
 def serve(engine: Engine, requests: DataFrame, out: str, checkpoint: str, refresh: bool = True) -> StreamingQuery:
@@ -18,8 +19,9 @@ def serve(engine: Engine, requests: DataFrame, out: str, checkpoint: str, refres
     def run(batch: DataFrame, number: int) -> None:
         if refresh:
             engine.refresh()
-        found = engine.batch(batch)
-        for name in ("rows", "totals", "rejected"):
-            getattr(found, name).write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
+        with Workspace(engine.spark, "batch") as ws:
+            found = engine.batch(batch, ws)
+            for name in ("rows", "totals", "rejected"):
+                getattr(found, name).write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
 
     return requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

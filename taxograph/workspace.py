@@ -21,9 +21,21 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="taxograph-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="taxograph-")
+    return _LOCAL[app]
+
+
+def _delete_rest() -> None:
+    for ws in list(_OPEN):
+        ws.delete()
+
+
+#: Temporary folders of local sessions, and workspaces whose tables are still there.
+_LOCAL: dict[str, str] = {}
+_OPEN: set[Workspace] = set()
+atexit.register(_delete_rest)
 
 
 def leveled(state: DataFrame, level: str, levels: int, last: str = "select * from STATE", **tables: DataFrame) -> DataFrame:
@@ -36,12 +48,27 @@ def leveled(state: DataFrame, level: str, levels: int, last: str = "select * fro
 
 
 class Workspace:
-    """A folder of Parquet tables of one operator call."""
+    """A folder of Parquet tables of one operator call.
+
+    A lazy result reads them, so they stay until ``delete`` (or the end of a ``with`` block, or of the process): who has
+    consumed a result, as the engine has after each answer, deletes them.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(self._delete, self.path)
+        _OPEN.add(self)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.delete()
+
+    def delete(self) -> None:
+        """Delete all tables."""
+        self._delete(self.path)
+        _OPEN.discard(self)
 
     def write(self, df: DataFrame, label: str) -> DataFrame:
         """The same rows, read back from a table of this workspace."""

@@ -2,6 +2,7 @@
 
 from collections import defaultdict, deque
 
+# Links, seeds and answers of the protocol as it is spoken.
 FIXTURE = [
     (2, 1, "s"), (3, 1, "s"), (4, 1, "f"), (5, 1, "f"), (6, 2, "s"), (7, 2, "f"), (8, 3, "f"), (9, 6, "f"), (11, 10, "f"),
     (110, 100, "s"), (120, 100, "s"), (101, 100, "f"), (102, 100, "f"), (103, 110, "f"), (104, 120, "f"),

@@ -161,3 +161,9 @@ def test_empty_and_too_large(spark):
     assert [tuple(r) for r in I.depth_histogram(graph).collect()] == [(0, 0)] and I.deepest_chains(graph).collect() == []
     with pytest.raises(ValueError):
         I.loops(graph_of(spark, FIXTURE), most=3)
+
+
+def test_walks_beyond_numbers(spark):
+    graph = graph_of(spark, [(1, 1, "s")] * 5000 + [(2, 1, "f")])
+    rows = {r["d"]: (r["mean"], r["most"]) for r in I.walk_counts(graph).collect()}
+    assert rows[1] == (5000, 5000) and rows[5] == (5000**5, 5000**5) and rows[6] == (None, None) and rows[30] == (None, None)
