@@ -24,6 +24,8 @@ HOPS = (2, 4)
 #: Levels as SQL. A search: rows found are carried by edges from each node to itself (step 0).
 LEVEL = """select t.child as node, s.root, min(s.depth + t.step) as depth, bool_and(t.step = 1) as newest
 from STATE s join {steps} t on s.node = t.parent where s.newest or t.step = 0 group by t.child, s.root"""
+REACH_LEVEL = """select t.child as node, s.root, s.reach, min(s.depth + t.step) as depth, bool_and(t.step = 1) as newest
+from STATE s join {steps} t on s.node = t.parent where t.step = 0 or (s.newest and (s.reach < 0 or s.depth < s.reach)) group by t.child, s.root, s.reach"""
 PATH_LEVEL = """select node, root, x.depth, newest, x.path from (
   select t.child as node, s.root, bool_and(t.step = 1) as newest,
     min(struct(s.depth + t.step as depth, case when t.step = 1 then concat(s.path, array(t.child)) else s.path end as path)) as x
@@ -50,13 +52,13 @@ def hierarchy_roots(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("parent").alias("node")).distinct().join(edges.select(F.col("child").alias("node")), "node", "left_anti")
 
 
-def level_search(ws: Workspace, edges: DataFrame, starts: DataFrame, paths: bool = False, label: str = "reach", most: int | None = None) -> DataFrame:
+def level_search(ws: Workspace, edges: DataFrame, starts: DataFrame, paths: bool = False, label: str = "reach") -> DataFrame:
     """``(node, root, depth[, path])``: every node reached from each start, with the fewest steps.
 
     ``starts`` has ``(node, root)`` at depth 0. Of several shortest paths the smallest, compared id by id, is given.
     A walk inside one job may run into pairs that are already settled; they are dropped when the job ends, so a loop
-    costs at most the levels of one job. Empty edges or starts give the starts alone. With ``most``, levels beyond it need
-    not be searched, though some may be.
+    costs at most the levels of one job. Empty edges or starts give the starts alone. Starts may have a ``reach``, one for each
+    root: the search from it ends at that depth, or nowhere if it is negative.
 
     Within a job the rows found so far are carried along by an edge from each node to itself, which makes every level the
     same join and aggregate: the plan grows by one of each a level, and all levels share one shuffle of the edges and
@@ -65,17 +67,17 @@ def level_search(ws: Workspace, edges: DataFrame, starts: DataFrame, paths: bool
     ends = edges.select(F.col("parent").alias("node")).union(edges.select("child")).distinct()
     steps = ws.write(_with_selves(edges, ends), f"{label}-steps")
     held = [f"{label}-0"]
-    first = starts.select("node", "root").distinct().select("node", "root", F.lit(0).alias("depth"), F.lit(True).alias("newest"), *([F.array("node").alias("path")] if paths else []))
+    bound = [c for c in starts.columns if c == "reach"]
+    first = starts.select("node", "root", *bound).distinct().select("node", "root", *bound, F.lit(0).alias("depth"), F.lit(True).alias("newest"), *([F.array("node").alias("path")] if paths else []))
     frontier, more = ws.write_and_look(first, held[0], "newest")
     schema = frontier.schema
-    names = [c for c in schema.names if c != "newest"]
-    level = 0
-    while more and (most is None or level < most):
+    names = [c for c in schema.names if c not in ("newest", "reach")]
+    text = REACH_LEVEL if bound else PATH_LEVEL if paths else LEVEL
+    while more:
         levels = LEVELS[min(len(held) - 1, len(LEVELS) - 1)]
-        level += levels
         settled = ws.read(held, schema)
         held.append(f"{label}-{len(held)}")
-        met = leveled(frontier, PATH_LEVEL if paths else LEVEL, levels, UNSETTLED, steps=steps, settled=settled)
+        met = leveled(frontier, text, levels, UNSETTLED, steps=steps, settled=settled)
         frontier, more = ws.write_and_look(met.select(*schema.names), held[-1], "newest")
         frontier = frontier.filter("newest")
     return ws.read(held, schema).select(*names)

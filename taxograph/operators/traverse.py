@@ -111,11 +111,7 @@ def file_depths(ws: Workspace, graph: CategoryGraph, starts: DataFrame) -> tuple
     bounds = ws.write(starts.select("root", F.when(F.col("bound") < 0, -1).otherwise(F.col("bound")).cast("int").alias("bound")).distinct().join(known, "root", "left_semi"), "depth-bounds")
     steps = ws.write(graph.steps().filter("enters").select("parent", "child").distinct(), "depth-steps")
     reach = ws.write(bounds.groupBy("root").agg(F.when(F.min("bound") < 0, -1).otherwise(F.max("bound")).alias("reach")), "reach-of")
-    most = reach.agg(F.max("reach")).first()[0] or 0
-    node = F.col("root").alias("node")
-    whole = level_search(ws, steps, reach.filter("reach < 0").select("root", node), label="whole")
-    near = level_search(ws, steps, reach.filter("reach >= 0").select("root", node), label="near", most=most)
-    met = ws.write(whole.unionByName(near), "met")
+    met = level_search(ws, steps, reach.select(F.col("root").alias("node"), "root", "reach"), label="met")
     found = ws.write(met.join(graph.contents(), F.col("node") == F.col("parent")).groupBy("root", "file").agg(F.min("depth").alias("depth")).select("root", F.col("file").alias("id"), "depth"), "found")
     inside = (F.col("bound") < 0) | (F.col("depth") <= F.col("bound"))
     rows = found.join(bounds, "root").filter(inside).select("root", "bound", "id", "depth")

@@ -16,8 +16,22 @@ from taxograph.sources.links import delivered_links, largest_page_id, titled_lin
 from taxograph.workspace import Workspace
 
 
+#: The last graphs built, by session, folder and state of its link files.
+_BUILT: dict[tuple, tuple[Workspace, CategoryGraph]] = {}
+KEPT_GRAPHS = 4
+
+
 def _graph(spark: SparkSession, d: str) -> CategoryGraph:
-    return build_graph(delivered_links(table(spark, d, "categorylinks")))
+    """The graph of a folder, built once for each state of its link files; the tables of the oldest are deleted."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{d}/categorylinks.parquet")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    key = (spark.sparkContext.applicationId, d, tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(path))))
+    if key not in _BUILT:
+        while len(_BUILT) >= KEPT_GRAPHS:
+            _BUILT.pop(next(iter(_BUILT)))[0].delete()
+        ws = Workspace(spark, "graph")
+        _BUILT[key] = (ws, build_graph(delivered_links(table(spark, d, "categorylinks")), workspace=ws))
+    return _BUILT[key][1]
 
 
 def _accepted(graph: CategoryGraph, spark: SparkSession, d: str, ws: Workspace) -> DataFrame:
