@@ -159,10 +159,10 @@ def _paths(ws: Workspace, graph: CategoryGraph, requests: DataFrame, tags: DataF
     trees = path_trees(ws, graph, requests.select(F.col("c1").alias("root")))
     goals = requests.select("req_id", F.col("c1").alias("root"), F.col("c2").alias("goal"), "d1")
     within = (F.col("d1") < 0) | (F.col("depth") <= F.col("d1"))
-    direct = goals.join(trees.withColumnRenamed("node", "goal"), ["root", "goal"]).filter(within).select("req_id", "depth", "k", "path")
+    direct = goals.join(trees.withColumnRenamed("node", "goal"), ["root", "goal"]).filter(within).select("req_id", "depth", "places", "path")
     holders = graph.contents().join(graph.categories.select(F.col("cat").alias("file")), "file", "left_anti").select(F.col("file").alias("goal"), F.col("parent").alias("node")).distinct()
-    through = goals.join(holders, "goal").join(trees, ["root", "node"]).filter(within).select("req_id", "depth", "k", "path")
-    best = ws.write(direct.union(through).groupBy("req_id").agg(F.min(F.struct("depth", "k", "path")).alias("x")).select("req_id", "x.path"), "paths")
+    through = goals.join(holders, "goal").join(trees, ["root", "node"]).filter(within).select("req_id", "depth", "places", "path")
+    best = ws.write(direct.union(through).groupBy("req_id").agg(F.min(F.struct("depth", "places", "path")).alias("x")).select("req_id", "x.path"), "paths")
     rows = best.select("req_id", F.posexplode("path").alias("at", "id"))
     rows = rows.select("req_id", (F.col("at") + 1).cast("bigint").alias("n"), "id", (F.col("at") + 1).cast("int").alias("depth"), F.lit(0).alias("tag"), F.lit("category").alias("kind"))
     found = goals.select("req_id").join(best.select("req_id", F.lit(True).alias("found")), "req_id", "left").select("req_id", F.lit(None).cast("bigint").alias("outof"), F.coalesce("found", F.lit(False)).alias("found"))

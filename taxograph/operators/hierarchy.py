@@ -30,6 +30,10 @@ PATH_LEVEL = """select node, root, x.depth, newest, x.path from (
   select t.child as node, s.root, bool_and(t.step = 1) as newest,
     min(struct(s.depth + t.step as depth, case when t.step = 1 then concat(s.path, array(t.child)) else s.path end as path)) as x
   from STATE s join {steps} t on s.node = t.parent where s.newest or t.step = 0 group by t.child, s.root)"""
+PLACE_LEVEL = """select node, root, x.depth, newest, x.places, x.path from (
+  select t.child as node, s.root, bool_and(t.step = 1) as newest, min(struct(s.depth + t.step as depth,
+    case when t.step = 1 then concat(s.places, array(t.pos)) else s.places end as places, case when t.step = 1 then concat(s.path, array(t.child)) else s.path end as path)) as x
+  from STATE s join {steps} t on s.node = t.parent where s.newest or t.step = 0 group by t.child, s.root)"""
 UNSETTLED = "select f.* from STATE f left anti join {settled} h on f.node = h.node and f.root = h.root"
 #: Released nodes tell their children (step 1) and parents (step 2); others wait for fewer, or go on waiting (step 0).
 RELEASE = """select node, ins, outs, ins = 0 or outs = 0 as newest from (
@@ -58,21 +62,25 @@ def level_search(ws: Workspace, edges: DataFrame, starts: DataFrame, paths: bool
     ``starts`` has ``(node, root)`` at depth 0. Of several shortest paths the smallest, compared id by id, is given.
     A walk inside one job may run into pairs that are already settled; they are dropped when the job ends, so a loop
     costs at most the levels of one job. Empty edges or starts give the starts alone. Starts may have a ``reach``, one for each
-    root: the search from it ends at that depth, or nowhere if it is negative.
+    root: the search from it ends at that depth, or nowhere if it is negative. If the edges have a ``pos`` (INT), the path with the
+    smallest list of positions is given instead, and that list as ``places``.
 
     Within a job the rows found so far are carried along by an edge from each node to itself, which makes every level the
     same join and aggregate: the plan grows by one of each a level, and all levels share one shuffle of the edges and
     one generated code.
     """
     ends = edges.select(F.col("parent").alias("node")).union(edges.select("child")).distinct()
-    steps = ws.write(_with_selves(edges, ends), f"{label}-steps")
+    placed = "pos" in edges.columns
+    both = _with_selves(edges, ends)
+    steps = ws.write(edges.select("parent", "child", "pos", F.lit(1).alias("step")).unionByName(both.filter("step = 0").withColumn("pos", F.lit(0))) if placed else both, f"{label}-steps")
     held = [f"{label}-0"]
     bound = [c for c in starts.columns if c == "reach"]
-    first = starts.select("node", "root", *bound).distinct().select("node", "root", *bound, F.lit(0).alias("depth"), F.lit(True).alias("newest"), *([F.array("node").alias("path")] if paths else []))
+    begun = [F.array().cast("array<int>").alias("places")] * placed + [F.array("node").alias("path")] * (placed or paths)
+    first = starts.select("node", "root", *bound).distinct().select("node", "root", *bound, F.lit(0).alias("depth"), F.lit(True).alias("newest"), *begun)
     frontier, more = ws.write_and_look(first, held[0], "newest")
     schema = frontier.schema
     names = [c for c in schema.names if c not in ("newest", "reach")]
-    text = REACH_LEVEL if bound else PATH_LEVEL if paths else LEVEL
+    text = PLACE_LEVEL if placed else REACH_LEVEL if bound else PATH_LEVEL if paths else LEVEL
     while more:
         levels = LEVELS[min(len(held) - 1, len(LEVELS) - 1)]
         settled = ws.read(held, schema)

@@ -121,26 +121,12 @@ def file_depths(ws: Workspace, graph: CategoryGraph, starts: DataFrame) -> tuple
 
 
 def path_trees(ws: Workspace, graph: CategoryGraph, starts: DataFrame) -> DataFrame:
-    """``(root, node, depth, k, path)``: shortest paths along subcategories from each ``(root)`` to all categories below.
+    """``(root, node, depth, places, path)``: shortest paths along subcategories from each ``(root)`` to all categories below.
 
-    Of several shortest paths the one found first in queue order: the smallest list of edge positions. Empty categories
-    can be reached. The root itself has depth 0.
+    Of several shortest paths the one found first in queue order: the one with the smallest list of edge positions
+    (``places``), so no queue has to be ranked. Empty categories can be reached. The root itself has depth 0.
     """
     known = graph.categories.filter(F.col("cat") < graph.limit).select(F.col("cat").alias("root"))
-    roots = starts.select("root").distinct().join(known, "root", "left_semi")
-    steps = ws.write(_with_selves(graph.subcats.filter(F.col("child") < graph.limit), roots), "path-steps")
-    state = ws.write(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"), F.lit(1).alias("k"), F.array("root").alias("path"), F.lit(True).alias("newest")), "tree-0")
-    own, turn = F.col("step") == 0, 0
-    while not state.filter("newest").isEmpty():
-        for _ in range(LEVELS[min(turn, len(LEVELS) - 1)]):
-            met = state.join(steps, state["node"] == steps["parent"]).filter(own | F.col("newest"))
-            cand = F.struct((F.col("k").cast("bigint") * PLACE + F.col("pos")).alias("place"), (F.col("depth") + 1).alias("depth"), "path")
-            rows = met.select("root", F.col("child").alias("node"), F.when(own, F.struct("depth", "k", "path")).alias("held"), F.when(~own, cand).alias("cand"))
-            got = rows.groupBy("root", "node").agg(F.max("held").alias("held"), F.min("cand").alias("cand")).withColumn("newest", F.col("held").isNull()).withColumn("place", F.col("cand.place"))
-            got = _ranked(got, "newest", "place")
-            path = F.concat("cand.path", F.array("node"))
-            state = got.select("root", "node", F.coalesce("held.depth", "cand.depth").alias("depth"), F.coalesce("held.k", "rank").alias("k"), F.when(F.col("newest"), path).otherwise(F.col("held.path")).alias("path"), "newest")
-        turn += 1
-        state = ws.write(state, f"tree-{turn}")
-        ws.drop(f"tree-{turn - 1}")
-    return state.select("root", "node", "depth", "k", "path")
+    roots = starts.select("root").distinct().join(known, "root", "left_semi").select("root", F.col("root").alias("node"))
+    edges = ws.write(graph.subcats.filter(F.col("child") < graph.limit).select("parent", "child", F.col("pos").cast("int").alias("pos")), "tree-edges")
+    return level_search(ws, edges, roots, label="tree").select("root", "node", "depth", "places", "path")
