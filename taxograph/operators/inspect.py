@@ -105,13 +105,8 @@ def union_counts(graph: CategoryGraph, roots: DataFrame) -> DataFrame:
     return starts.select("root").join(cats, "root", "left").join(files, "root", "left").fillna(0)
 
 
-def depths(graph: CategoryGraph) -> DataFrame:
-    """``(cat, depth)``: the longest descent below each category.
-
-    Categories that cannot reach a loop are settled level by level from below, in parallel. For the others the value
-    depends on the order of a depth-first visit by ascending id (an edge back onto the current path counts 0); they are
-    visited in one task.
-    """
+def _settled_depths(graph: CategoryGraph) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(cat, depth)`` of the categories that reach no loop, ``(cat)`` of those that do, and the edges ``(parent, pos, child)``."""
     ws = Workspace(graph.spark, "depths")
     edges = ws.write(graph.subcats.select("parent", "pos", "child"), "edges")
     plain = ws.write(edges.select("parent", "child").distinct(), "plain")
@@ -131,7 +126,22 @@ def depths(graph: CategoryGraph) -> DataFrame:
         turn += 1
         state = ws.write(state, f"state-{turn}")
         ws.drop(f"state-{turn - 1}")
-    settled = state.select("cat", "depth")
+    return state.select("cat", "depth"), tangled, edges
+
+
+def clear_depths(graph: CategoryGraph) -> DataFrame:
+    """``(cat, depth)``: the longest descent below each category that cannot reach a loop."""
+    return _settled_depths(graph)[0]
+
+
+def depths(graph: CategoryGraph) -> DataFrame:
+    """``(cat, depth)``: the longest descent below each category.
+
+    Categories that cannot reach a loop are settled level by level from below, in parallel. For the others the value
+    depends on the order of a depth-first visit by ascending id (an edge back onto the current path counts 0); they are
+    visited in one task.
+    """
+    settled, tangled, edges = _settled_depths(graph)
     rest = edges.join(tangled.select(F.col("cat").alias("parent")), "parent", "left_semi").join(settled.withColumnRenamed("cat", "child"), "child", "left").select("parent", "pos", "child", "depth")
     return settled.unionByName(visit(rest, _tangled_depths, "cat int, depth int"))
 

@@ -152,6 +152,11 @@ def walk_counts(spark: SparkSession, d: str) -> DataFrame:
     return I.walk_counts(_graph(spark, d))
 
 
+def clear_depths(spark: SparkSession, d: str) -> DataFrame:
+    """CLI-9 for the categories whose depth does not depend on the order of a visit."""
+    return I.clear_depths(_graph(spark, d))
+
+
 def depth_hist(spark: SparkSession, d: str) -> DataFrame:
     return I.depth_histogram(_graph(spark, d))
 
@@ -198,7 +203,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = NAMED | {
     f.__name__: f
     for f in (
         list_files, and_files, not_files, fqv, path, pages, page_totals, rejections, graph_checks, subcats, fileinfo, dbinfo, degrees, pfs_search, diamond,
-        scc, scc_lines, walk_counts, depth_hist, deepest, loops, dfs_path, union_counts, max_page_id, extraction,
+        scc, scc_lines, walk_counts, clear_depths, depth_hist, deepest, loops, dfs_path, union_counts, max_page_id, extraction,
     )
 }
 
@@ -264,6 +269,10 @@ found as (select f.a as node, least(f.a, min(f.b)) as component, count(distinct
     "walk_counts": f"""with recursive {ROWS}, edges as (select parent, child, count(*) as times from subs group by 1, 2), n as (select count(*) as n from cats),
 w(cat, d, walks) as (select cat, 0, 1::hugeint from cats union all select e.parent, max(w.d) + 1, sum(w.walks * e.times)::hugeint from w join edges e on e.child = w.cat where w.d < 30 group by e.parent)
 select ds.d, try_cast(coalesce(sum(walks), 0) // (select n from n) as bigint) as mean, try_cast(coalesce(max(walks), 0) as bigint) as most from (select unnest(generate_series(0, 30)) as d) ds left join w on w.d = ds.d group by ds.d""",
+    "clear_depths": f"""with recursive {ROWS}, edges as (select distinct parent, child from subs), reach(a, b) as (select parent, child from edges union select r.a, e.child from reach r join edges e on e.parent = r.b),
+looped as (select a from reach where a = b), tangled as (select a from looped union select a from reach where b in (select a from looped)),
+down(cat, depth) as (select cat, 0 from cats where cat not in (select a from tangled) union select e.parent, d.depth + 1 from down d join edges e on e.child = d.cat where e.parent not in (select a from tangled))
+select cat, max(depth) as depth from down group by cat""",
     "union_counts": f"""with recursive {ROWS}, roots as (select c1 as root from workitem where c1 in (select cat from blocks) union select c2 from workitem where c2 in (select cat from blocks)), edges as (select distinct parent, child from subs),
 walk(node, root) as (select root, root from roots union select e.child, w.root from walk w join edges e on e.parent = w.node)
 select r.root, count(distinct f.parent) as categories, count(distinct f.file) as files from roots r join walk w on w.root = r.root left join fls f on f.parent = w.node group by r.root""",
