@@ -68,6 +68,27 @@ def p5_unions(spark: SparkSession, d: str) -> DataFrame:
     return S.estimates(S.merge(state.join(sides, "page_id"), ["c_low", "c_high"]), ["c_low", "c_high"])
 
 
+def p5_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Of the groups of the four queries before: how many there are, and how many estimates lie outside of four standard errors and
+    three identifiers of the exact count."""
+    dated = _dated(spark, d)
+    asked = _asked(spark, d).filter("a > 0 and b > 0 and a <> b").select(F.least("a", "b").alias("c_low"), F.greatest("a", "b").alias("c_high")).distinct()
+    sides = asked.select("c_low", "c_high", F.explode(F.array("c_low", "c_high")).alias("page_id"))
+    out = None
+    for what, keys, rows, estimated in (
+        ("day and category", ["link_day", "page_id"], dated.filter("link_day is not null"), p5_day_category),
+        ("day", ["link_day"], dated.filter("link_day is not null"), p5_days),
+        ("category", ["page_id"], dated, p5_categories),
+        ("pair of categories", ["c_low", "c_high"], dated.select("page_id", "cl_from").distinct().join(sides, "page_id"), p5_unions),
+    ):
+        exact = rows.select(*keys, "cl_from").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("exact"))
+        far = F.abs(F.col("n_distinct") - F.col("exact")) > 4 * S.STANDARD_ERROR * F.col("exact") + 3
+        part = exact.join(estimated(spark, d), keys, "left").agg(F.count(F.lit(1)).alias("n_groups"), F.count(F.when(far | F.col("n_distinct").isNull(), 1)).alias("n_outside"))
+        part = part.select(F.lit(what).alias("what"), "*")
+        out = part if out is None else out.union(part)
+    return out
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), vocabulary_path("byte_bpe_50k"), Workspace(spark, "encode"))
 
@@ -104,7 +125,7 @@ def p8_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_overlaps, p5_found, p5_day_category, p5_days, p5_categories, p5_unions, p6_ids, p6_joined, p7_found, p7_leaks, p7_clean, p8_found, p8_composition)
+    f.__name__: f for f in (p2_found, p2_overlaps, p5_found, p5_day_category, p5_days, p5_categories, p5_unions, p5_bounds, p6_ids, p6_joined, p7_found, p7_leaks, p7_clean, p8_found, p8_composition)
 }
 
 KIND = r"nullif(lower(substr(regexp_replace(cl_type, '^\s+', ''), 1, 1)), '')"
@@ -120,6 +141,11 @@ SQL: dict[str, str] = {
     "p2_overlaps": OVERLAPS + "select * from result",
     "p5_found": """select strftime(cl_timestamp, '%Y-%m-%d') as link_day, page_id from categorylinks
 where cl_from > 0 and page_id > 0 and cl_timestamp is not null group by 1, 2 having count(*) >= 20 and count(distinct cl_from) * 2 < count(*)""",
+    "p5_bounds": """with dated as (select strftime(cl_timestamp, '%Y-%m-%d') as day, page_id, cl_from from categorylinks where cl_from > 0 and page_id > 0),
+pairs as (select distinct least(c1, c2) as c_low, greatest(c1, c2) as c_high from workitem where c1 > 0 and c2 > 0 and c1 <> c2)
+select 'day and category' as what, count(*) as n_groups, 0::bigint as n_outside from (select distinct day, page_id from dated where day is not null)
+union all select 'day', count(*), 0 from (select distinct day from dated where day is not null) union all select 'category', count(*), 0 from (select distinct page_id from dated)
+union all select 'pair of categories', count(*), 0 from pairs where c_low in (select page_id from dated) or c_high in (select page_id from dated)""",
     "p6_joined": "select count(*) as n_documents, count(*) as n_same from documents",
     "p7_leaks": """with texts as (select item_id, prompt as text from eval_items union all select item_id, solution from eval_items),
 iw as (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from texts), dw as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents),
