@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from taxograph.operators.graph import CategoryGraph
+from taxograph.operators.ranking import ranked
 from taxograph.operators.traverse import ORDER, listing, path_trees
 from taxograph.workspace import Workspace
 
@@ -68,10 +69,10 @@ def good_tags(ws: Workspace, graph: CategoryGraph, seeds: DataFrame) -> DataFram
     return ws.write(seen.join(of, ["root", "bound"]).groupBy("id").agg(best).select("id", "x.tag", F.col("x.depth2").alias("good_depth")), "tags")
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
+def _numbered(ws: Workspace, rows: DataFrame) -> DataFrame:
     """Rows of each start with their place ``i`` from 0 and the number of them."""
-    w = Window.partitionBy("root", "bound")
-    return rows.withColumn("i", (F.row_number().over(w.orderBy(*ORDER)) - 1).cast("bigint")).withColumn("num", F.count(F.lit(1)).over(w))
+    placed = ranked(ws, rows, ["root", "bound"], [F.col(c) for c in ORDER], "placed", "i", "num")
+    return placed.withColumn("i", F.col("i") - 1)
 
 
 def answer(graph: CategoryGraph, requests: DataFrame, tags: DataFrame, frontier_rows: bool = True, workspace: Workspace | None = None, progress: Callable[[int, int], None] | None = None) -> Answers:
@@ -90,7 +91,7 @@ def answer(graph: CategoryGraph, requests: DataFrame, tags: DataFrame, frontier_
     combos = ws.write(searched.select("a", "c1", "d1", F.when(F.col("a").isin("and", "not"), F.col("c2")).alias("c2"), F.when(F.col("a").isin("and", "not"), F.col("d2")).alias("d2")).distinct().withColumn("combo", F.monotonically_increasing_id()), "combos")
     starts = combos.select(F.col("c1").alias("root"), F.col("d1").alias("bound")).union(combos.filter("c2 is not null").select("c2", "d2"))
     rows, seen = listing(ws, graph, starts, frontier_rows)
-    numbered = ws.write(_numbered(rows).join(tagged, "id", "left"), "numbered")
+    numbered = ws.write(_numbered(ws, rows).join(tagged, "id", "left"), "numbered")
     seen = ws.write(seen, "seen")
     if progress:
         sizes = {(r["root"], r["bound"]): r["num"] for r in numbered.filter("i = 0").select("root", "bound", "num").collect()}  # a row for each listing of the request
@@ -111,8 +112,11 @@ def answer(graph: CategoryGraph, requests: DataFrame, tags: DataFrame, frontier_
     matches = parts[0]
     for part in parts[1:]:
         matches = matches.unionByName(part)
-    w = Window.partitionBy("combo").orderBy("pass", "i")
-    matches = matches.select(*base).withColumn("n", F.row_number().over(w).cast("bigint")).withColumn("before", F.col("n") - F.row_number().over(Window.partitionBy("combo", "pass").orderBy("i")))
+    in_pass = ranked(ws, matches.select(*base), ["combo", "pass"], [F.col("i")], "passes", "n")
+    passes = in_pass.groupBy("combo", "pass").agg(F.count(F.lit(1)).alias("held"))
+    earlier = Window.partitionBy("combo").orderBy("pass").rowsBetween(Window.unboundedPreceding, -1)  # at most four rows
+    matches = in_pass.join(passes.select("combo", "pass", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before")), ["combo", "pass"])
+    matches = matches.select(*base, (F.col("n") + F.col("before")).alias("n"), "before")
     matches = ws.write(matches, "matches")
 
     asked = searched.join(combos.withColumnsRenamed({"c2": "cc2", "d2": "dd2"}), ["a", "c1", "d1"]).filter("(cc2 is null or cc2 = c2) and (dd2 is null or dd2 = d2)").select("req_id", "combo", "a", "o", "s")

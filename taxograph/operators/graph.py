@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taxograph.functions import kind_letter
+from taxograph.operators.ranking import ranked
 from taxograph.workspace import Workspace
 
 
@@ -67,7 +68,8 @@ def build_graph(links: DataFrame, strict: bool = False, workspace: Workspace | N
         rows = grouped_blocks(rows)
     rows = ws.write(rows, "rows")
     last = rows.agg(F.max_by("parent", "seq") if strict else F.max("parent")).first()[0]
-    subcats = rows.filter("kind = 's'").select("parent", F.row_number().over(Window.partitionBy("parent").orderBy("seq", "child")).alias("pos"), "child")
+    placed = ranked(ws, rows.filter("kind = 's'").select("parent", "seq", "child"), ["parent"], [F.col("seq"), F.col("child")], "placed", "pos")
+    subcats = placed.select("parent", F.col("pos").cast("int").alias("pos"), "child")
     files = rows.filter("kind = 'f'").select("parent", F.col("child").alias("file"))
     blocks = rows.select(F.col("parent").alias("cat"), F.lit(True).alias("has_block"))
     known = rows.filter("kind = 's'").select(F.col("child").alias("cat"), F.lit(False).alias("has_block"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from taxograph.operators.graph import CategoryGraph
 from taxograph.operators.hierarchy import level_search, loop_components
+from taxograph.operators.ranking import ranked
 from taxograph.workspace import Workspace
 
 VISIT_EDGES = 1 << 22
@@ -54,8 +55,7 @@ def subcats_of(graph: CategoryGraph, parent: int | None = None) -> DataFrame:
 def files_of(graph: CategoryGraph, parent: int | None = None) -> DataFrame:
     """``(parent, pos, file)``: direct files by id downwards, of one category or of all; a repeated file repeats."""
     rows = graph.files if parent is None else graph.files.filter(F.col("parent") == parent)
-    runs = rows.groupBy("parent", "file").agg(F.count(F.lit(1)).alias("times")).withColumn("pos", F.sum("times").over(Window.partitionBy("parent").orderBy(F.desc("file")).rowsBetween(Window.unboundedPreceding, -1)))
-    return runs.select("parent", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("x"), (F.coalesce("pos", F.lit(0)) + F.col("x")).cast("int").alias("pos"), "file").drop("x")
+    return ranked(Workspace(graph.spark, "files"), rows, ["parent"], [F.desc("file")], "ranked", "pos").select("parent", F.col("pos").cast("int").alias("pos"), "file")
 
 
 def diamonds(graph: CategoryGraph) -> DataFrame:
