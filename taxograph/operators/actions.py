@@ -8,16 +8,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from taxograph.operators import scan
 from taxograph.operators.graph import CategoryGraph
-from taxograph.operators.ranking import ranked
-from taxograph.operators.traverse import ORDER, listing, path_trees
 from taxograph.workspace import Workspace
 
 REQUEST = "req_id bigint, a string, c1 int, c2 int, d1 int, d2 int, o int, s int"
-COMBINATION = ("a", "c1", "d1", "c2", "d2")
+#: Requests of a task, as long as there are few tasks.
+REQUESTS = 500
 
 
 @dataclass
@@ -28,11 +28,7 @@ class Answers:
     rows: DataFrame
     totals: DataFrame
     rejected: DataFrame
-
-
-def wrapped(x: Column) -> Column:
-    """A BIGINT as it comes out of 32-bit arithmetic."""
-    return F.pmod(x + F.lit(1 << 31), F.lit(1 << 32)) - F.lit(1 << 31)
+    graph: CategoryGraph  # whose arrays the rows and totals are read from
 
 
 def defaults(requests: DataFrame) -> DataFrame:
@@ -62,17 +58,17 @@ def good_tags(ws: Workspace, graph: CategoryGraph, seeds: DataFrame) -> DataFram
 
     Seeds that are no category have nothing below them.
     """
-    _, seen = listing(ws, graph, seeds.select(F.col("cat_id").alias("root"), F.col("depth").alias("bound")))
     bound = F.when(F.col("depth") < 0, -1).otherwise(F.col("depth"))
-    of = seeds.select("prio", F.col("cat_id").alias("root"), bound.cast("int").alias("bound"), "tag")
+    of = seeds.select(F.col("prio").cast("int").alias("prio"), F.col("cat_id").cast("int").alias("cat"), bound.cast("int").alias("bound"), F.col("tag").cast("int").alias("tag"))
+    of = of.join(graph.categories.filter(F.col("cat") < graph.limit).select("cat"), "cat", "left_semi").select("prio", "cat", "bound", "tag")
+    seen = of.repartition(_tasks(ws, of, 1), "prio", "cat").mapInArrow(scan.seen_rows(graph.arrays()), scan.SEEN)
     best = F.min(F.struct("prio", "tag", "depth2")).alias("x")
-    return ws.write(seen.join(of, ["root", "bound"]).groupBy("id").agg(best).select("id", "x.tag", F.col("x.depth2").alias("good_depth")), "tags")
+    return ws.write(seen.groupBy("id").agg(best).select("id", "x.tag", F.col("x.depth2").alias("good_depth")), "tags")
 
 
-def _numbered(ws: Workspace, rows: DataFrame) -> DataFrame:
-    """Rows of each start with their place ``i`` from 0 and the number of them."""
-    placed = ranked(ws, rows, ["root", "bound"], [F.col(c) for c in ORDER], "placed", "i", "num")
-    return placed.withColumn("i", F.col("i") - 1)
+def _tasks(ws: Workspace, rows: DataFrame, each: int) -> int:
+    """Tasks for so many rows each, but at most four times the shuffle partitions."""
+    return min(1 + rows.count() // each, 4 * int(ws.spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def answer(graph: CategoryGraph, requests: DataFrame, tags: DataFrame, frontier_rows: bool = True, workspace: Workspace | None = None, progress: Callable[[int, int], None] | None = None) -> Answers:
@@ -84,90 +80,16 @@ def answer(graph: CategoryGraph, requests: DataFrame, tags: DataFrame, frontier_
     """
     ws = workspace or Workspace(graph.spark, "answers")
     checked = ws.write(validated(graph, defaults(requests)), "requests")
-    accepted = checked.filter("reason is null").drop("reason")
-    tagged = tags.select("id", F.col("tag").cast("int").alias("tag"), F.col("good_depth").cast("int").alias("good_depth"))
-
-    searched = accepted.filter("a <> 'path'")
-    combos = ws.write(searched.select("a", "c1", "d1", F.when(F.col("a").isin("and", "not"), F.col("c2")).alias("c2"), F.when(F.col("a").isin("and", "not"), F.col("d2")).alias("d2")).distinct().withColumn("combo", F.monotonically_increasing_id()), "combos")
-    starts = combos.select(F.col("c1").alias("root"), F.col("d1").alias("bound")).union(combos.filter("c2 is not null").select("c2", "d2"))
-    rows, seen = listing(ws, graph, starts, frontier_rows)
-    numbered = ws.write(_numbered(ws, rows).join(tagged, "id", "left"), "numbered")
-    seen = ws.write(seen, "seen")
+    ws.write(tags.select("id", F.col("tag").cast("int").alias("tag"), F.col("good_depth").cast("int").alias("good_depth")), "tag-array")
+    accepted = checked.filter("reason is null").select("req_id", "a", "c1", "c2", "d1", "d2", "o", "s")
+    same = ["c1", "c2", "a", "d1", "d2"]  # what comes together shares searches, scans and hits; a popular combination may be split
+    spread = accepted.repartitionByRange(_tasks(ws, accepted, REQUESTS), *same, "req_id").sortWithinPartitions(*same)
+    given = (graph.arrays(), f"{ws.path}/tag-array", frontier_rows)
+    rows = spread.mapInArrow(scan.page_rows(*given), scan.ROWS)
+    rows = rows.select("req_id", "n", "id", "depth", "tag", F.when(F.col("category"), "category").otherwise("file").alias("kind"))
+    totals = spread.mapInArrow(scan.page_sizes(*given), scan.TOTALS)
     if progress:
-        sizes = {(r["root"], r["bound"]): r["num"] for r in numbered.filter("i = 0").select("root", "bound", "num").collect()}  # a row for each listing of the request
-        for r in combos.limit(1).collect():
-            progress(sizes.get((r["c1"], r["d1"]), 0), sizes.get((r["c2"], r["d2"]), 0))
-    one = numbered.withColumnsRenamed({"root": "c1", "bound": "d1"})
-    two = seen.select(F.col("root").alias("c2"), F.col("bound").alias("d2"), "id", "depth2")
-    some = rows.select(F.col("root").alias("c2"), F.col("bound").alias("d2")).distinct().withColumn("some2", F.lit(True))
-    base = ["combo", "i", "num", "id", "depth", "tag", "kind", "pass"]
-    r1 = combos.join(one, ["c1", "d1"])
-    plain = F.coalesce("tag", F.lit(0)).alias("tag")
-    parts = [
-        r1.filter("a = 'list'").select("combo", "i", "num", "id", "depth", plain, "kind", F.lit(1).alias("pass")),
-        r1.filter("a = 'and'").join(two, ["c2", "d2", "id"]).join(some, ["c2", "d2"], "left_semi").select("combo", "i", "num", "id", (F.col("depth") + F.col("depth2")).alias("depth"), plain, "kind", F.lit(1).alias("pass")),
-        r1.filter("a = 'not'").join(two, ["c2", "d2", "id"], "left_anti").select("combo", "i", "num", "id", "depth", plain, "kind", F.lit(1).alias("pass")),
-        r1.filter("a = 'fqv' and tag between 1 and 4").select("combo", "i", "num", "id", (F.col("depth") + F.col("good_depth")).alias("depth"), "tag", "kind", F.col("tag").alias("pass")),
-    ]
-    matches = parts[0]
-    for part in parts[1:]:
-        matches = matches.unionByName(part)
-    in_pass = ranked(ws, matches.select(*base), ["combo", "pass"], [F.col("i")], "passes", "n")
-    passes = in_pass.groupBy("combo", "pass").agg(F.count(F.lit(1)).alias("held"))
-    earlier = Window.partitionBy("combo").orderBy("pass").rowsBetween(Window.unboundedPreceding, -1)  # at most four rows
-    matches = in_pass.join(passes.select("combo", "pass", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("before")), ["combo", "pass"])
-    matches = matches.select(*base, (F.col("n") + F.col("before")).alias("n"), "before")
-    matches = ws.write(matches, "matches")
-
-    asked = searched.join(combos.withColumnsRenamed({"c2": "cc2", "d2": "dd2"}), ["a", "c1", "d1"]).filter("(cc2 is null or cc2 = c2) and (dd2 is null or dd2 = d2)").select("req_id", "combo", "a", "o", "s")
-    low = F.greatest("o", F.lit(0)).cast("bigint")
-    end = (F.col("o") + F.col("s")).cast("bigint")
-    asked = asked.withColumns({"low": low, "end": end, "last": F.when(F.col("a") == "list", end).otherwise(F.greatest(end, low + 1))})
-    open_pass = (F.col("a") != "fqv") | (F.col("pass") == 1) | (F.col("before") < F.col("end"))
-    page = asked.join(matches, "combo").filter((F.col("n") > F.col("low")) & (F.col("n") <= F.col("last")) & open_pass)
-    out = page.select("req_id", (F.col("n") - F.col("low")).alias("n"), "id", "depth", "tag", "kind")
-
-    totals = _totals(asked, matches, numbered, combos, page)
-    paths, found = _paths(ws, graph, accepted.filter("a = 'path'"), tagged)
-    return Answers(out.unionByName(paths), totals.withColumn("found", F.lit(True)).unionByName(found), checked.filter("reason is not null").select("req_id", "reason"))
-
-
-def _totals(asked: DataFrame, matches: DataFrame, numbered: DataFrame, combos: DataFrame, page: DataFrame) -> DataFrame:
-    """``(req_id, outof)``: exact for list; rows after the offset for a scan that ended; otherwise an estimate."""
-    sizes = combos.join(numbered.filter("i = 0").select(F.col("root").alias("c1"), F.col("bound").alias("d1"), "num"), ["c1", "d1"], "left").select("combo", F.coalesce("num", F.lit(0)).alias("num"))
-    counts = matches.groupBy("combo").agg(F.count(F.lit(1)).alias("total"), *(F.sum(F.when(F.col("pass") <= k, 1).otherwise(0)).alias(f"upto{k}") for k in (1, 2, 3, 4)))
-    closing = page.filter("n = last").select("req_id", F.col("i").alias("stop_i"), F.col("pass").alias("stop_pass"))
-    t = asked.join(sizes, "combo").join(counts, "combo", "left").join(closing, "req_id", "left").fillna(0, ["total", "upto1", "upto2", "upto3", "upto4"])
-    done = wrapped(F.col("total") - F.col("o"))
-    product = wrapped(F.col("end") * F.col("num"))
-    plain = F.when(F.col("stop_i").isNull(), done).when(F.col("stop_i") > 0, _div(product, F.col("stop_i")))
-    ended = F.when(F.col("stop_pass").isNotNull(), F.col("stop_pass"))
-    for k in (1, 2, 3, 4):
-        ended = F.coalesce(ended, F.when(F.col(f"upto{k}") >= F.col("end"), F.lit(k)))
-    at = F.coalesce("stop_i", "num")
-    whole = wrapped((ended - 1) * F.col("num") + at)
-    fqv = F.when(F.col("num") == 0, F.lit(0)).when(ended.isNull(), done).when(whole > 0, _div(wrapped(product * 3), whole))
-    outof = F.when(F.col("a") == "list", F.col("num")).when(F.col("a") == "fqv", fqv).otherwise(plain)
-    # an empty second operand ends "and" before the offset is looked at
-    empty2 = combos.filter("a = 'and'").join(numbered.select(F.col("root").alias("c2"), F.col("bound").alias("d2")).distinct(), ["c2", "d2"], "left_anti").select("combo", F.lit(True).alias("empty2"))
-    return t.join(empty2, "combo", "left").select("req_id", F.when(F.col("empty2"), F.lit(0)).otherwise(outof).cast("bigint").alias("outof"))
-
-
-def _div(a: Column, b: Column) -> Column:
-    """Division that drops the fraction."""
-    return F.call_function("div", a, b)
-
-
-def _paths(ws: Workspace, graph: CategoryGraph, requests: DataFrame, tags: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows and ``(req_id, outof, found)`` of path requests; a file's path ends at the first category that holds it."""
-    trees = path_trees(ws, graph, requests.select(F.col("c1").alias("root")))
-    goals = requests.select("req_id", F.col("c1").alias("root"), F.col("c2").alias("goal"), "d1")
-    within = (F.col("d1") < 0) | (F.col("depth") <= F.col("d1"))
-    direct = goals.join(trees.withColumnRenamed("node", "goal"), ["root", "goal"]).filter(within).select("req_id", "depth", "places", "path")
-    holders = graph.contents().join(graph.categories.select(F.col("cat").alias("file")), "file", "left_anti").select(F.col("file").alias("goal"), F.col("parent").alias("node")).distinct()
-    through = goals.join(holders, "goal").join(trees, ["root", "node"]).filter(within).select("req_id", "depth", "places", "path")
-    best = ws.write(direct.union(through).groupBy("req_id").agg(F.min(F.struct("depth", "places", "path")).alias("x")).select("req_id", "x.path"), "paths")
-    rows = best.select("req_id", F.posexplode("path").alias("at", "id"))
-    rows = rows.select("req_id", (F.col("at") + 1).cast("bigint").alias("n"), "id", (F.col("at") + 1).cast("int").alias("depth"), F.lit(0).alias("tag"), F.lit("category").alias("kind"))
-    found = goals.select("req_id").join(best.select("req_id", F.lit(True).alias("found")), "req_id", "left").select("req_id", F.lit(None).cast("bigint").alias("outof"), F.coalesce("found", F.lit(False)).alias("found"))
-    return rows, found
+        totals = ws.write(totals, "totals")
+        for r in totals.join(accepted.filter("a <> 'path'"), "req_id", "left_semi").limit(1).collect():
+            progress(r["first"], r["second"])
+    return Answers(rows, totals.select("req_id", "outof", "found"), checked.filter("reason is not null").select("req_id", "reason"), graph)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import weakref
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,7 @@ class CategoryGraph:
     files: DataFrame
     categories: DataFrame
     limit: int
+    _arrays: str | None = field(default=None, repr=False, compare=False)
 
     @property
     def spark(self) -> SparkSession:
@@ -38,6 +40,19 @@ class CategoryGraph:
         """The file edges that a query may return."""
         return self.files.filter(F.col("file") < self.limit)
 
+    def arrays(self) -> str:
+        """The folder of what a query may follow and return, sorted for ``scan``; written once, deleted with the graph."""
+        if self._arrays is None:
+            ws = Workspace(self.spark, "arrays")
+            ws.write(self.steps().repartitionByRange("parent", "pos").sortWithinPartitions("parent", "pos").select("parent", "child", "enters"), "sub-array")
+            downwards = F.shiftleft(F.col("parent").cast("bigint"), 32).bitwiseOR(F.lit((1 << 32) - 1) - F.col("file"))
+            ws.write(self.contents().select(downwards.alias("key")).repartitionByRange("key").sortWithinPartitions("key"), "file-array")
+            ws.write(self.categories.select("cat").repartitionByRange("cat").sortWithinPartitions("cat"), "cat-array")
+            ws.write(self.categories.select("cat").join(self.contents().select(F.col("file").alias("cat")), "cat", "left_semi"), "clash-array")
+            self._arrays = ws.path
+            weakref.finalize(self, ws.delete)
+        return self._arrays
+
 
 def grouped_blocks(links: DataFrame) -> DataFrame:
     """The rows of each parent's last group of adjacent rows, by ``seq``: how a dump in parent order is read strictly.

@@ -1,12 +1,8 @@
-"""Breadth-first listings below many roots at once, in the exact order of a first-in first-out queue.
-
-Every root has its own queue; one job takes all queues one level further. Queue positions are ranks within a root, so the
-ranking is partitioned by root and nothing is ordered globally.
-"""
+"""Breadth-first listings below many roots at once, without an order: one job takes all of them several levels further."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taxograph.functions import saturated_depth
@@ -14,98 +10,12 @@ from taxograph.operators.graph import CategoryGraph
 from taxograph.operators.hierarchy import level_search
 from taxograph.workspace import Workspace
 
-#: Levels taken in one job.
-LEVELS = (2, 4, 8)
-#: A position within a queue and one within a list of subcategories, as one number.
-PLACE = 1 << 31
-
-
-def _with_selves(edges: DataFrame, starts: DataFrame) -> DataFrame:
-    """``(parent, pos, child, step)``: the edges (step 1) and an edge from every node to itself (step 0)."""
-    ends = edges.select("parent").union(edges.select("child")).union(starts.select("root")).distinct()
-    return edges.select("parent", "pos", "child", F.lit(1).alias("step")).union(ends.select("parent", F.lit(0), F.col("parent"), F.lit(0)))
-
-
-def _ranked(df: DataFrame, accepted: str, order: str) -> DataFrame:
-    """Add ``rank``: the place of an accepted row among those of its root. The others are spread, they need none."""
-    spread = F.when(F.col(accepted), 0).otherwise(1 + F.pmod(F.xxhash64("node"), F.lit(64)))
-    return df.withColumn("spread", spread).withColumn("rank", F.row_number().over(Window.partitionBy("root", "spread").orderBy(order)))
-
-
-def queues(ws: Workspace, graph: CategoryGraph, starts: DataFrame) -> DataFrame:
-    """``(root, bound, level, k, node)``: the queue of each start at each level.
-
-    A category stands in the queue of its first level and, if it was met again before its own turn there, once more one
-    level below; that is how a queue that marks categories when they leave it behaves. ``bound`` < 0 is no bound.
-
-    A root is searched once, as far as its largest bound needs; a smaller bound just ends earlier. The state has a row for
-    each category met: its first ``level`` with its place ``k1``, its place ``k2`` if it stands in the next queue too, and
-    how ``fresh`` it is (2: of the newest level, 1: of the one before). As in ``level_search`` the state is carried through
-    the levels of a job by edges from each node to itself, so each level adds the same join, aggregate and ranking.
-    """
-    bounds = ws.write(starts.select("root", F.when(F.col("bound") < 0, -1).otherwise(F.col("bound")).cast("int").alias("bound")).distinct().join(graph.categories.filter(F.col("cat") < graph.limit).select(F.col("cat").alias("root")), "root", "left_semi"), "bounds")
-    reach = bounds.groupBy("root").agg(F.when(F.min("bound") < 0, -1).otherwise(F.max("bound")).alias("reach"))
-    steps = ws.write(_with_selves(graph.steps().filter("enters"), bounds), "steps")
-    none = F.lit(None).cast("int")
-    state = ws.write(reach.select("root", "reach", F.col("root").alias("node"), F.lit(0).alias("level"), F.lit(1).alias("k1"), none.alias("k2"), F.lit(2).alias("fresh")), "state-0")
-    newest = (F.col("fresh") == 2) | ((F.col("fresh") == 1) & F.col("k2").isNotNull())
-    own = F.col("step") == 0
-    turn = 0
-    while True:
-        for _ in range(LEVELS[min(turn, len(LEVELS) - 1)]):
-            at = F.col("level") + 2 - F.col("fresh")
-            place = F.when(F.col("fresh") == 2, F.col("k1")).otherwise(F.col("k2")).cast("bigint")
-            met = state.join(steps, state["node"] == steps["parent"]).filter(own | (newest & ((F.col("reach") < 0) | (at < F.col("reach")))))
-            rows = met.select("root", "reach", F.col("child").alias("node"), *(F.when(own, F.col(c)).alias(c) for c in ("level", "k1", "k2")), F.when(own, F.greatest(F.col("fresh") - 1, F.lit(0))).alias("fresh"), F.when(~own, place * PLACE + F.col("pos")).alias("cand"), F.when(~own, at + 1).alias("next"))
-            got = rows.groupBy("root", "reach", "node").agg(*(F.max(c).alias(c) for c in ("level", "k1", "k2", "fresh")), F.min("cand").alias("cand"), F.max("next").alias("next"))
-            fresh_one = F.col("level").isNull()
-            again = (F.col("fresh") == 1) & F.col("cand").isNotNull() & (F.floor(F.col("cand") / PLACE) < F.col("k1"))
-            got = _ranked(got.withColumn("taken", fresh_one | F.coalesce(again, F.lit(False))), "taken", "cand")
-            k2 = F.when(F.col("taken") & ~fresh_one, F.col("rank")).otherwise(F.col("k2"))
-            state = got.select("root", "reach", "node", F.coalesce("level", "next").alias("level"), F.when(fresh_one, F.col("rank")).otherwise(F.col("k1")).alias("k1"), k2.alias("k2"), F.coalesce("fresh", F.lit(2)).alias("fresh"))
-        turn += 1
-        state = ws.write(state, f"state-{turn}")
-        ws.drop(f"state-{turn - 1}")
-        if state.filter(newest).isEmpty():
-            break
-    twice = F.array(F.struct("level", F.col("k1").alias("k")), F.struct((F.col("level") + 1).alias("level"), F.col("k2").alias("k")))
-    entries = state.select("root", "node", F.explode(twice).alias("x")).select("root", "x.level", "x.k", "node").filter("k is not null")
-    return ws.write(entries.join(bounds, "root").filter("bound < 0 or level <= bound").select("root", "bound", "level", "k", "node"), "queues")
-
-
-def listing(ws: Workspace, graph: CategoryGraph, starts: DataFrame, frontier_rows: bool = True) -> tuple[DataFrame, DataFrame]:
-    """The rows below each start and what each start's search has seen.
-
-    ``starts`` has ``(root, bound)``. Rows: ``(root, bound, id, depth, kind, k, pos)``, ordered within a start by
-    ``depth, k, kind, pos``; a file stands where it is first met, files of one category by id downwards. At the bound, the
-    subcategories that are not entered are rows as well (``frontier_rows``). Seen: ``(root, bound, id, depth2)``, with
-    depth 0 for every entered category and at most 254. A root that is no category has neither.
-    """
-    queue = queues(ws, graph, starts)
-    entries = queue.select("root", "bound", "level", "k", "node")
-    found = entries.join(graph.contents(), F.col("node") == F.col("parent")).groupBy("root", "bound", "file").agg(F.min(F.struct("level", "k")).alias("x"))
-    rows = found.select("root", "bound", F.col("file").alias("id"), F.col("x.level").alias("depth"), F.lit("file").alias("kind"), "x.k", (-F.col("file").cast("bigint")).alias("pos"))
-    if frontier_rows:
-        last = entries.filter("level = bound")
-        shown = last.join(graph.steps(), F.col("node") == F.col("parent")).select("root", "bound", "level", "k", "pos", "child")
-        own = last.select("root", "bound", F.col("node").alias("child"), F.col("k").alias("own_k"))
-        older = entries.filter("level < bound").select("root", "bound", F.col("node").alias("child"))
-        shown = shown.join(own, ["root", "bound", "child"], "left").filter("own_k is null or own_k > k").join(older, ["root", "bound", "child"], "left_anti")
-        shown = shown.groupBy("root", "bound", "child").agg(F.min(F.struct("level", "k", "pos")).alias("x"))
-        rows = shown.select("root", "bound", F.col("child").alias("id"), F.col("x.level").alias("depth"), F.lit("category").alias("kind"), "x.k", F.col("x.pos").cast("bigint").alias("pos")).unionByName(rows)
-    rows = ws.write(rows, "rows")
-    seen = entries.select("root", "bound", F.col("node").alias("id"), F.lit(0).alias("depth2")).unionByName(rows.select("root", "bound", "id", saturated_depth(F.col("depth")).alias("depth2")))
-    return rows, seen.groupBy("root", "bound", "id").agg(F.min("depth2").alias("depth2"))
-
-
-ORDER = ("depth", "k", "kind", "pos")
-
 
 def file_depths(ws: Workspace, graph: CategoryGraph, starts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The files below each start ``(root, bound)`` and what its search has seen, without an order.
 
-    The same files, depths and seen rows as ``listing`` gives without frontier rows, from a search that keeps no queue
-    positions: ``(root, bound, id, depth)`` and ``(root, bound, id, depth2)``.
+    ``starts`` has ``(root, bound)``; ``bound`` < 0 is no bound. Files: ``(root, bound, id, depth)``, where they are first met. Seen:
+    ``(root, bound, id, depth2)``, with depth 0 for every entered category and at most 254. A root that is no category has neither.
     """
     known = graph.categories.filter(F.col("cat") < graph.limit).select(F.col("cat").alias("root"))
     bounds = ws.write(starts.select("root", F.when(F.col("bound") < 0, -1).otherwise(F.col("bound")).cast("int").alias("bound")).distinct().join(known, "root", "left_semi"), "depth-bounds")
@@ -118,15 +28,3 @@ def file_depths(ws: Workspace, graph: CategoryGraph, starts: DataFrame) -> tuple
     entered = met.select("root", F.col("node").alias("id"), "depth").join(bounds, "root").filter(inside).select("root", "bound", "id", F.lit(0).alias("depth2"))
     seen = entered.unionByName(rows.select("root", "bound", "id", saturated_depth(F.col("depth")).alias("depth2")))
     return rows, seen.groupBy("root", "bound", "id").agg(F.min("depth2").alias("depth2"))
-
-
-def path_trees(ws: Workspace, graph: CategoryGraph, starts: DataFrame) -> DataFrame:
-    """``(root, node, depth, places, path)``: shortest paths along subcategories from each ``(root)`` to all categories below.
-
-    Of several shortest paths the one found first in queue order: the one with the smallest list of edge positions
-    (``places``), so no queue has to be ranked. Empty categories can be reached. The root itself has depth 0.
-    """
-    known = graph.categories.filter(F.col("cat") < graph.limit).select(F.col("cat").alias("root"))
-    roots = starts.select("root").distinct().join(known, "root", "left_semi").select("root", F.col("root").alias("node"))
-    edges = ws.write(graph.subcats.filter(F.col("child") < graph.limit).select("parent", "child", F.col("pos").cast("int").alias("pos")), "tree-edges")
-    return level_search(ws, edges, roots, label="tree").select("root", "node", "depth", "places", "path")
