@@ -6,10 +6,12 @@ from pathlib import Path
 import pyarrow.parquet as pq
 import pytest
 from model import Model
+from pyspark.sql import functions as F
 from test_requests import SEED, graph_of, random_case
 
 from taxograph.operators import scan
 from taxograph.operators.actions import REQUEST, answer, good_tags
+from taxograph.operators.graph import build_graph
 from taxograph.workspace import Workspace
 
 
@@ -75,3 +77,18 @@ def test_ids_that_are_both(spark):
     found = answer(graph, spark.createDataFrame(requests, REQUEST), tags)
     got = sorted((r["req_id"], r["n"], r["id"], r["depth"], r["tag"]) for r in found.rows.collect())
     assert got == [(1, 1, 9, 1, 2), (1, 2, 4, 0, 2), (3, 1, 4, 0, 2)]
+
+
+def test_pages_of_any_size(spark):
+    """Pages beyond one batch, and many requests for the same combination in several tasks; every place comes once."""
+    links = spark.range(70_000).selectExpr("cast(id + 10 as int) as child", "1 as parent", "'f' as type", "id as seq").union(spark.sql("select 3, 80100, 'f', 99999"))
+    graph = build_graph(links)
+    requests = [(k, "list", 1, 1, -1, -1, 0, 1 << 30) for k in range(2)] + [(k, "and", 1, 1, -1, -1, 7 * k, 5) for k in range(2, 1200)]
+    with Workspace(spark, "scan") as ws:
+        tags = good_tags(ws, graph, spark.createDataFrame([], SEED))
+        found = answer(graph, spark.createDataFrame(requests, REQUEST), tags, workspace=ws)
+        assert found.rows.rdd.getNumPartitions() == 3
+        got = found.rows.groupBy("req_id").agg(F.count("*").alias("n"), F.sum(F.col("id") + F.col("n")).alias("x"), F.max("n").alias("most")).collect()
+    first = 70_009  # files of a category come by id downwards
+    want = {k: (70_000, 70_000 * (first + 1), 70_000) for k in range(2)} | {k: (5, 5 * (first + 1 - 7 * k), 5) for k in range(2, 1200)}
+    assert {r["req_id"]: (r["n"], r["x"], r["most"]) for r in got} == want
