@@ -34,7 +34,11 @@ PLACE_LEVEL = """select node, root, x.depth, newest, x.places, x.path from (
   select t.child as node, s.root, bool_and(t.step = 1) as newest, min(struct(s.depth + t.step as depth,
     case when t.step = 1 then concat(s.places, array(t.pos)) else s.places end as places, case when t.step = 1 then concat(s.path, array(t.child)) else s.path end as path)) as x
   from STATE s join {steps} t on s.node = t.parent where s.newest or t.step = 0 group by t.child, s.root)"""
+#: A search with steps of any length: rows are newest where they came with fewer steps than they had.
+STEP_LEVEL = """select t.child as node, s.root, min(s.depth + t.step) as depth, coalesce(min(s.depth + t.step) < min(case when t.step = 0 then s.depth end), true) as newest
+from STATE s join {steps} t on s.node = t.parent where s.newest or t.step = 0 group by t.child, s.root"""
 UNSETTLED = "select f.* from STATE f left anti join {settled} h on f.node = h.node and f.root = h.root"
+UNBEATEN = UNSETTLED + " and h.depth <= f.depth"
 #: Released nodes tell their children (step 1) and parents (step 2); others wait for fewer, or go on waiting (step 0).
 RELEASE = """select node, ins, outs, ins = 0 or outs = 0 as newest from (
   select t.child as node, sum(case t.step when 0 then s.ins when 1 then -1 else 0 end) as ins,
@@ -176,10 +180,6 @@ def loop_components(ws: Workspace, edges: DataFrame) -> DataFrame:
     return out
 
 
-def _reached(ws: Workspace, edges: DataFrame, paths: bool = False) -> DataFrame:
-    return level_search(ws, edges, hierarchy_roots(edges).select("node", F.col("node").alias("root")), paths)
-
-
 def suspects(ws: Workspace, edges: DataFrame, reached: DataFrame) -> DataFrame:
     """The edges that can lie on loops, by what the search from the roots met: few beside the edges of all trees.
 
@@ -201,24 +201,101 @@ def suspects(ws: Workspace, edges: DataFrame, reached: DataFrame) -> DataFrame:
     return ws.write(kept.select("parent", "child"), "suspects")
 
 
-def hierarchy(spark: SparkSession, links: DataFrame, paths: bool = False) -> DataFrame:
-    """``(node_id, root_id, depth[, path])`` for each category and each root that reaches it, and depth -1 for each
-    category on a loop, with the smallest id of its loop as ``root_id`` (and a null path).
+def chains(ws: Workspace, edges: DataFrame) -> list[DataFrame]:
+    """Jumps along nodes of one parent, ``(node, parent, up, dist, open)``: in table k, 2^k steps upwards or, if that is less, as far as
+    the first node that has no parent or several. A row is ``open`` if its jump ends at a node of one parent.
+
+    A jump is two of the table before, so a way of any length takes its logarithm in tables, of a row a node each. Above
+    a node that is n steps below the end are nodes of all smaller numbers: once a table ends no more jumps than the one before, what
+    is open in the last lies on or below a loop that nothing enters.
+    """
+    ones = edges.groupBy("child").agg(F.count(F.lit(1)).alias("n"), F.min("parent").alias("parent")).filter("n = 1")
+    ones = ws.write(ones.select(F.col("child").alias("node"), "parent"), "ones")
+    above = ones.select(F.col("node").alias("parent"), F.lit(True).alias("open"))
+    first = ones.join(above, "parent", "left").select("node", "parent", F.col("parent").alias("up"), F.lit(1).alias("dist"), F.coalesce("open", F.lit(False)).alias("open"))
+    state, still = ws.write_and_count(first, "chain-0", "open")
+    out, before = [state], None
+    while still and still != before:
+        then = state.select(F.col("node").alias("up"), F.col("up").alias("end"), F.col("dist").alias("more"), F.col("open").alias("on"))
+        longer = state.filter("open").join(then, "up").select("node", "parent", F.col("end").alias("up"), (F.col("dist") + F.col("more")).alias("dist"), F.col("on").alias("open"))
+        before = still
+        state, still = ws.write_and_count(state.filter("not open").union(longer), f"chain-{len(out)}", "open")
+        out.append(state)
+    return out
+
+
+def fewest_steps(ws: Workspace, hops: DataFrame, starts: DataFrame, label: str) -> DataFrame:
+    """``(node, root, depth)``: every node reached from each start ``(node, root)``, over edges ``(parent, child, step)`` of any length.
+
+    As ``level_search``, but a pair that comes again with fewer steps goes on once more.
+    """
+    ends = hops.select(F.col("parent").alias("node")).union(hops.select("child")).distinct()
+    selves = ends.select(F.col("node").alias("parent"), F.col("node").alias("child"), F.lit(0).alias("step"))
+    steps = ws.write(hops.select("parent", "child", "step").union(selves), f"{label}-steps")
+    held = [f"{label}-0"]
+    frontier, more = ws.write_and_look(starts.select("node", "root", F.lit(0).alias("depth"), F.lit(True).alias("newest")), held[0], "newest")
+    schema = frontier.schema
+    while more:
+        settled = ws.read(held, schema)
+        levels = LEVELS[min(len(held) - 1, len(LEVELS) - 1)]
+        held.append(f"{label}-{len(held)}")
+        met = leveled(frontier, STEP_LEVEL, levels, UNBEATEN, steps=steps, settled=settled)
+        frontier, more = ws.write_and_look(met.select(*schema.names), held[-1], "newest")
+        frontier = frontier.filter("newest")
+    return ws.write(ws.read(held, schema).groupBy("node", "root").agg(F.min("depth").alias("depth")), label)
+
+
+def _loop_rows(ws: Workspace, jumps: list[DataFrame], entries: DataFrame, found: DataFrame) -> DataFrame:
+    """``(node, root, depth)``, depth -1, of all nodes on loops, by ``found``, the loops among the ends of jumps.
+
+    Nodes of one parent are on a loop if they lie above the start of an edge (of ``entries``) between two ends of one loop; jumps
+    of all lengths from there meet all of them.
+    """
+    of = lambda c, name: found.select(F.col("node").alias(c), F.col("component").alias(name))
+    inside = entries.join(of("end", "component"), "end").join(of("child", "other"), "child").filter("component = other and parent <> end")
+    marks = inside.select(F.col("parent").alias("node"), "component").distinct()
+    for k, jump in enumerate(jumps):
+        both = marks.join(jump.select("node", "up"), "node", "left").select(F.explode(F.array("node", "up")).alias("node"), "component")
+        marks = both.filter("node is not null").distinct()
+        if k % 2:
+            marks = ws.write(marks, f"marks-{k}")
+    members = ws.write(found.select("node", "component").union(marks.select("node", "component")).distinct(), "members")
+    least = members.groupBy("component").agg(F.min("node").alias("root"))
+    return members.join(least, "component").select("node", "root", F.lit(-1).alias("depth"))
+
+
+def hierarchy(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """``(node_id, root_id, depth)`` for each category and each root that reaches it, and depth -1 for each category on a
+    loop, with the smallest id of its loop as ``root_id``.
 
     Reads ``cl_from``, ``page_id``, ``cl_type``; repeated rows, nulls and ids below 1 play no part. A category that no
     root reaches (a loop that nothing enters, or what hangs under one) has only a loop row, or none. Empty in, empty out.
+
+    What is searched, from the roots and for loops, is the graph of the nodes that have no parent or several: an edge to such a
+    node is a hop from the end of the jumps of its parent. All other nodes have the rows of their end, so many steps deeper.
     """
     ws = Workspace(spark, "hierarchy")
     edges = ws.write(subcategory_edges(links), "edges")
-    reached = _reached(ws, edges, paths)
-    loops = loop_components(ws, suspects(ws, edges, reached)).select("node", F.col("component").alias("root"), F.lit(-1).alias("depth"))
-    return reached.unionByName(loops, allowMissingColumns=True).withColumnsRenamed({"node": "node_id", "root": "root_id"})
+    jumps = chains(ws, edges)
+    last = jumps[-1]
+    into = edges.join(last.select(F.col("node").alias("child")), "child", "left_anti")
+    jumped = last.select(F.col("node").alias("parent"), "up", "dist", "open")
+    entries = into.join(jumped, "parent", "left").filter("open is null or not open").select(F.coalesce("up", "parent").alias("end"), "parent", "child", (F.coalesce("dist", F.lit(0)) + 1).alias("step"))
+    entries = ws.write(entries, "entries")
+    hops = ws.write(entries.groupBy("end", "child").agg(F.min("step").alias("step")).withColumnRenamed("end", "parent"), "hops")
+    met = fewest_steps(ws, hops, hierarchy_roots(edges).select("node", F.col("node").alias("root")), "ends")
+    below = last.filter("not open").join(met.withColumnRenamed("node", "up"), "up").select("node", "root", (F.col("depth") + F.col("dist")).alias("depth"))
+    unentered = last.filter("open").select("parent", F.col("node").alias("child"))
+    found = loop_components(ws, suspects(ws, hops.select("parent", "child").union(unentered), met))
+    return met.union(below).union(_loop_rows(ws, jumps, entries, found)).withColumnsRenamed({"node": "node_id", "root": "root_id"})
 
 
 def hierarchy_paths(spark: SparkSession, links: DataFrame) -> DataFrame:
     """``(node_id, root_id, depth, path)``: the rows of ``hierarchy`` that have a path, without a search for loops."""
     ws = Workspace(spark, "paths")
-    return _reached(ws, ws.write(subcategory_edges(links), "edges"), True).withColumnsRenamed({"node": "node_id", "root": "root_id"})
+    edges = ws.write(subcategory_edges(links), "edges")
+    reached = level_search(ws, edges, hierarchy_roots(edges).select("node", F.col("node").alias("root")), paths=True)
+    return reached.withColumnsRenamed({"node": "node_id", "root": "root_id"})
 
 
 def descendants(spark: SparkSession, links: DataFrame) -> DataFrame:

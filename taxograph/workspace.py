@@ -77,10 +77,15 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def write_and_look(self, df: DataFrame, label: str, flag: str) -> tuple[DataFrame, bool]:
-        """As ``write``, and whether any row has the flag; told by the job that writes."""
+        """As ``write``, and whether any row has the flag."""
+        out, n = self.write_and_count(df, label, flag)
+        return out, n > 0
+
+    def write_and_count(self, df: DataFrame, label: str, flag: str) -> tuple[DataFrame, int]:
+        """As ``write``, and how many rows have the flag; told by the job that writes."""
         look = Observation()
         out = self.write(df.observe(look, F.count(F.when(F.col(flag), 1)).alias("n")), label)
-        return out, look.get["n"] > 0
+        return out, look.get["n"]
 
     def drop(self, label: str) -> None:
         """Delete a table that no later step reads."""

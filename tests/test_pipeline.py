@@ -116,6 +116,39 @@ def test_hierarchy(spark, seed):
     assert all(sizes[c] == m for _, c, m in one)
 
 
+def long_ways(seed):
+    """Ways of one parent, loops with long ways between few entries, loops that nothing enters, and what hangs under them."""
+    rnd = random.Random(seed)
+    edges = {(i, i + 1) for i in range(1, 150)} | {(150, 90), (40, 95), (40, 120), (100, 41), (7, 7), (110, 60)} if seed == 0 else set()
+    for at in range(200, 500, 50):
+        k, tail = rnd.randint(1, 9), rnd.randint(1, 20)
+        edges |= {(at + i, at + (i + 1) % k) for i in range(k)} | {(at + k + i - 1, at + k + i) for i in range(tail)}
+        if rnd.random() < 0.6:  # else nothing enters the loop
+            edges.add((500 + at, at + rnd.randrange(k)))
+        if rnd.random() < 0.7:
+            edges.add((at + k + tail - 1, 200 + rnd.randrange(300)))
+    for _ in range(12):
+        edges.add((rnd.randint(200, 520), rnd.randint(200, 520)))
+    return edges
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_hierarchy_of_long_ways(spark, seed):
+    edges = long_ways(seed)
+    want, _ = brute_hierarchy(edges)
+    got = [tuple(r) for r in H.hierarchy(spark, links(spark, [(b, a, "s") for a, b in edges])).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_tables_of_a_deep_hierarchy(spark, monkeypatch):
+    """A way of 300 nodes takes as many tables as its logarithm says, not one for every few levels."""
+    labels, write = [], Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda ws, df, label: labels.append(label) or write(ws, df, label))
+    rows = H.hierarchy(spark, links(spark, [(i + 1, i, "s") for i in range(1, 300)] + [(1000, 1, "s"), (1000, 300, "s")])).collect()
+    assert {tuple(r) for r in rows} == {(i, 1, i - 1) for i in range(1, 301)} | {(1000, 1, 1)}
+    assert len(labels) < 40
+
+
 def test_hierarchy_of_nothing_and_of_loops_only(spark):
     assert H.hierarchy(spark, links(spark, [])).collect() == []
     loop = links(spark, [(1, 2, "s"), (2, 1, "s"), (9, 2, "s")])
