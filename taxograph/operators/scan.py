@@ -304,6 +304,54 @@ def _tagged(graph: Graph, one: Listing) -> list[tuple[np.ndarray, np.ndarray]]:
     return [(places[tag == k], depth[tag == k]) for k in (1, 2, 3, 4)]
 
 
+class Tree:
+    """All categories below a root in the order of a queue, each where it is first met: ``up`` has the place of its parent.
+
+    A file is looked for in each category, until that has taken as many looks as there are files; from then on in an
+    index of all files, each with the first category that holds it.
+    """
+
+    def __init__(self, graph: Graph, root: int):
+        self.graph, self.root = graph, root
+        queue, depth, up = [root], [0], {root: -1}
+        at = 0
+        while at < len(queue):
+            for x in graph.below(queue[at])[0]:
+                if x not in up:
+                    up[x] = at
+                    queue.append(x)
+                    depth.append(depth[at] + 1)
+            at += 1
+        self.queue, self.depth, self.up = queue, depth, up
+        self.low: np.ndarray | None = None
+        self.looks = 0
+        self.ids: np.ndarray | None = None
+
+    def holder(self, file: int) -> int:
+        """The place of the first category that holds a file, -1 for none."""
+        keys = self.graph.keys
+        if self.low is None:
+            self.low = np.asarray(self.queue, np.int64) << 32
+            self.lo, self.hi = keys.searchsorted(self.low), keys.searchsorted(self.low + (1 << 32))
+            self.total = int((self.hi - self.lo).sum())
+        if self.ids is None:
+            self.looks += len(self.queue)
+            if self.looks <= self.total:
+                own = self.low | (LOW - file)
+                k = np.minimum(keys.searchsorted(own), len(keys) - 1)
+                at = np.flatnonzero(keys[k] == own)
+                return int(at[0]) if len(at) else -1
+            n = self.hi - self.lo
+            flat = np.arange(self.total) + np.repeat(self.lo - (np.cumsum(n) - n), n)
+            files = (LOW - (keys[flat] & LOW)).astype(np.int32)
+            by = np.argsort(files, kind="stable")
+            files = files[by]
+            once = np.r_[True, files[1:] != files[:-1]] if self.total else np.empty(0, bool)
+            self.ids, self.places = files[once], np.repeat(np.arange(len(n), dtype=np.int32), n)[by[once]]
+        k = _place(self.ids, file)
+        return int(self.places[k]) if k < len(self.ids) and self.ids[k] == file else -1
+
+
 def wrapped(x: int) -> int:
     """A number as it comes out of 32-bit arithmetic."""
     return (x + (1 << 31)) % (1 << 32) - (1 << 31)
@@ -320,7 +368,7 @@ class Scanner:
     def __init__(self, graph: Graph, frontier: bool):
         self.graph, self.frontier = graph, frontier
         self.pair: Pair | None = None
-        self.tree: tuple[int, list[int], list[int], dict[int, int]] | None = None
+        self.tree: Tree | None = None
 
     def answers(self, group: list[tuple]) -> Iterator[tuple]:
         """``(req_id, places or path, depths, tags, listing, low, outof, found, first, second)`` of requests
@@ -390,18 +438,9 @@ class Scanner:
     def path(self, root: int, goal: int, bound: int) -> list[int] | None:
         """The ids of the shortest path found first; a file's path ends at the first category that holds it."""
         graph = self.graph
-        if not self.tree or self.tree[0] != root:
-            queue, depth, up = [root], [0], {root: -1}
-            at = 0
-            while at < len(queue):
-                for x in graph.below(queue[at])[0]:
-                    if x not in up:
-                        up[x] = at
-                        queue.append(x)
-                        depth.append(depth[at] + 1)
-                at += 1
-            self.tree = (root, queue, depth, up)
-        _, queue, depth, up = self.tree
+        if not self.tree or self.tree.root != root:
+            self.tree = Tree(graph, root)
+        queue, depth, up = self.tree.queue, self.tree.depth, self.tree.up
         if goal in up:
             at = depth[up[goal]] + 1
             if bound >= 0 and at > bound:
@@ -410,12 +449,10 @@ class Scanner:
         elif graph.is_cat(goal) or goal < 0 or not len(graph.keys):
             return None
         else:
-            keys = (np.asarray(queue, np.int64) << 32) | (LOW - goal)
-            k = np.minimum(graph.keys.searchsorted(keys), len(graph.keys) - 1)
-            holders = np.flatnonzero(graph.keys[k] == keys)
-            if not len(holders) or (bound >= 0 and depth[holders[0]] > bound):
+            at = self.tree.holder(goal)
+            if at < 0 or (bound >= 0 and depth[at] > bound):
                 return None
-            node = queue[holders[0]]
+            node = queue[at]
         ids = [node]
         while up[node] >= 0:
             node = queue[up[node]]

@@ -3,6 +3,7 @@
 import random
 from pathlib import Path
 
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from model import Model
@@ -92,3 +93,41 @@ def test_pages_of_any_size(spark):
     first = 70_009  # files of a category come by id downwards
     want = {k: (70_000, 70_000 * (first + 1), 70_000) for k in range(2)} | {k: (5, 5 * (first + 1 - 7 * k), 5) for k in range(2, 1200)}
     assert {r["req_id"]: (r["n"], r["x"], r["most"]) for r in got} == want
+
+
+class Counted(np.ndarray):
+    """An array that counts what is looked for in it."""
+
+    looks = 0
+
+    def searchsorted(self, v, *args, **kwargs):
+        Counted.looks += np.size(v)
+        return np.asarray(self).searchsorted(v, *args, **kwargs)
+
+
+def test_paths_do_not_search_all_categories_again(spark):
+    """1,000 paths below 400 categories: in few of them is each category looked at; all are those of a plain queue."""
+    rnd = random.Random(4)
+    parent = {c: rnd.choice([1, *range(2, c)][-30:]) for c in range(2, 402)}
+    files = [(1000 + f, c) for f in range(600) for c in rnd.sample(range(1, 402), 2)] + [(5000, 500)]
+    links = [(c, p, "s") for c, p in parent.items()] + [(f, c, "f") for f, c in files] + [(9000, 9000, "x")]
+    graph = graph_of(spark, links)  # its tables go with it
+    arrays = scan.Graph(graph.arrays())
+    arrays.keys = arrays.keys.view(Counted)
+    order = [1]
+    for c in order:
+        order += arrays.below(c)[0]
+    place, depth = {c: k for k, c in enumerate(order)}, {1: 0}
+    for c in order[1:]:
+        depth[c] = depth[parent[c]] + 1
+    scanner, Counted.looks = scan.Scanner(arrays, True), 0
+    for k in range(1000):
+        goal, bound = rnd.choice([*range(1000, 1603), 5000]), rnd.choice([-1, -1, 3, 8])
+        held = sorted((place[c], c) for f, c in files if f == goal and c in place)
+        want = None
+        if held and (bound < 0 or depth[held[0][1]] <= bound):
+            want = [held[0][1]]
+            while want[0] != 1:
+                want.insert(0, parent[want[0]])
+        assert scanner.path(1, goal, bound) == want, (goal, bound)
+    assert Counted.looks < 20_000
